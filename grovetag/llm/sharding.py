@@ -4,7 +4,9 @@ Pass one scatters whole records into buckets of bounded size by a seeded hash. P
 two holds one bucket at a time in memory and Fisher-Yates shuffles it (Spark's seeded
 shuffle() of an array). A bucket's offset in the global order is the number of
 records in the buckets before it, and record g goes to place g // shards of
-shard g % shards, so the shards' row counts differ by one at most (law `rows`).
+shard g % shards, so the shards' row counts differ by one at most (law `rows`). Spark
+seeds the shuffle of a bucket with the seed and the task's number: a lost task gives the
+same order again, another number of shuffle partitions may give another one.
 
 Cases: a null text counts no bytes and stays null; repeated rows are separate
 records; an empty table gives no rows; further columns travel in `record`.
