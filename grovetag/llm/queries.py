@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jpeg, mixing, ngram_join, packing, sharding, warc
+from . import exact_dedup, jpeg, mixing, ngram_join, packing, ppm, sharding, warc
 from .common import table
 
 
@@ -38,8 +38,12 @@ def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_dedup, op2_warc_revisits, op3_pack_mixture, op4_ngram_join, op5_jpeg_media, op6_mix_sources, op8_shuffle_shards]
+    found = [op1_exact_dedup, op2_warc_revisits, op3_pack_mixture, op4_ngram_join, op5_jpeg_media, op6_mix_sources, op8_shuffle_shards, op9_ppm_scores]
     return {f.__name__: f for f in found}
 
 
