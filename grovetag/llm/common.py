@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -37,7 +38,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """df written as a table in the shared folder and read again: later steps start from the files, also after the loss of executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stored() whose readers have all been written themselves, and lets Spark's cleaner see that the shuffles behind them are no longer in use (it frees their files only after a collection of the driver's garbage)."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(t.stored_path)
+        where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

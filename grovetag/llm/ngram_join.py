@@ -11,7 +11,7 @@ the threshold allows.) The number of classes follows the size of the set, in
 powers of two; sets whose partners may fall in the next step use both steps.
 
 Signatures are range-partitioned by (signature, set), so a frequent one runs over many
-partitions. A scan of the sorted rows pairs each set with the first and the previous set of its
+partitions. A scan of the sorted rows pairs each set with the first set of its
 signature; these pairs are verified on the whole sets and give components. Only where a
 signature still holds several components, the pairs across them are verified as well. So
 no link that could join two components is missed, and groups of near copies cost a
@@ -36,8 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, stored, text_or_empty
+from .common import discard, stored, text_or_empty
 from .components import components
+from .shingles import mixed, shingles
 
 WORDS = 4
 PERCENT = 85
@@ -48,54 +49,17 @@ MOST_FREQUENT = 1 << 18
 CHUNK = 1 << 22
 #: Bits of the filter of the documents whose sets are wanted.
 FILTER_BITS = 1 << 24
-MEMO = 300_000
+#: Texts that a task remembers to have seen.
+SEEN = 300_000
 
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
-class _Words(dict):
-    """Hashes of words; remembers the first MEMO short ones."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < MEMO and len(word) < 32:
-            self[word] = h
-        return h
-
-
-class Shingler:
-    """Sorted distinct shingle hashes of texts; one per task."""
-
-    def __init__(self, k: int = WORDS):
-        self.k, self.words = k, _Words()
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode().translate(LOWER).split()
-        n, k = len(words), self.k
-        if not n:
-            return np.empty(0, np.uint64)
-        w = np.fromiter(map(self.words.__getitem__, words), np.uint64, n)
-        if n < k:
-            return _mixed((w * _ODD[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n))
-        h = w[: n - k + 1] * _ODD[0]
-        for i in range(1, k):
-            h += w[i : n - k + 1 + i] * _ODD[i]
-        return np.unique(_mixed(h))
+_ONE, _TWO = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
 def frequent_shingles(docs: DataFrame, k: int, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
     """Sorted hashes of the shingles that most documents hold. Tasks sum what they see more than once, equal texts counted once a task; counts may fall short, which changes the order of tokens and no result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen = Shingler(k), set()
+        seen = set()
         held, size = [], 0
         keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
 
@@ -113,14 +77,16 @@ def frequent_shingles(docs: DataFrame, k: int, frequent: int = FREQUENT, most: i
                 keys, counts, held, size = both, total, [], 0
 
         for batch in batches:
+            fresh = []
             for text in batch.column(0).to_pylist():
                 name = xxhash.xxh3_64_intdigest(text)
-                if name in seen:
-                    continue
-                if len(seen) < MEMO:
-                    seen.add(name)
-                held.append(shingles(text))
-                size += len(held[-1])
+                if name not in seen:
+                    fresh.append(text)
+                    if len(seen) < SEEN:
+                        seen.add(name)
+            for tokens in shingles(fresh, k):
+                held.append(tokens)
+                size += len(tokens)
                 if size >= CHUNK:
                     add()
         add()
@@ -167,7 +133,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
             same = own[gap:] == own[:-gap]
             if not same.any():
                 break
-            out.append(_mixed(kept[:-gap][same] * _ODD[4] + kept[gap:][same] * _ODD[5] + np.uint64(lv)))
+            out.append(mixed(kept[:-gap][same] * _ONE + kept[gap:][same] * _TWO + np.uint64(lv)))
     return np.unique(np.concatenate(out))
 
 
@@ -177,11 +143,9 @@ def sets_with_signatures(docs: DataFrame, k: int, percent: int, frequent: np.nda
     held = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST_FREQUENT numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(k)
         for batch in batches:
             names, checks, sizes, parts = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                tokens = shingles(text)
+            for tokens in shingles(batch.column(1).to_pylist(), k):
                 d = xxhash.xxh3_128_intdigest(tokens.tobytes())
                 names.append(d & (1 << 64) - 1)
                 checks.append(d >> 64)
@@ -205,8 +169,8 @@ def scan(postings: DataFrame) -> DataFrame:
         def rows(kind, a, b, n):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n)], names=["kind", "a", "b", "n"])
 
-        rest = None  # the last signature's rows so far: signature, first set, last set, number of rows, its first two rows' sets and sizes
-        edges, last = [], None
+        rest = None  # the last signature so far: its hash, first set, last set and number of rows
+        edges = []
         for batch in batches:
             sig, ids, n = (batch.column(i).to_numpy() for i in range(3))
             if not len(sig):
@@ -214,32 +178,21 @@ def scan(postings: DataFrame) -> DataFrame:
             start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             size = np.diff(np.append(start, len(sig)))
             group = np.repeat(np.arange(len(start)), size)
-            center, place = ids[start][group], np.arange(len(sig)) - start[group]
-            before = np.concatenate([ids[:1], ids[:-1]])
-            total = size[group]
-            carried = rest is not None and rest[0] == sig[0]
-            if carried:
-                g0 = slice(0, size[0])
-                center = center.copy()
-                center[g0], place[g0], total = rest[1], place[g0] + rest[3], total.copy()
-                total[g0] += rest[3]
-                before[0] = rest[2]
+            center, place, total = ids[start][group], np.arange(len(sig)) - start[group], size[group]
+            if carried := rest is not None and rest[0] == sig[0]:
+                center[: size[0]] = rest[1]
+                place[: size[0]] += rest[3]
+                total[: size[0]] += rest[3]
             pair = place > 0
             yield rows(0, center[pair], ids[pair], np.zeros(pair.sum(), np.int32))
-            chain = place > 1
-            yield rows(0, before[chain], ids[chain], np.zeros(chain.sum(), np.int32))
             many = total > 2
             many[start[-1] :] = True  # it may go on
+            if rest is None:
+                many[: size[0]] = True  # it may have begun in another partition
+                edges.append((int(sig[0]), int(ids[0])))
             yield rows(1, sig[many], ids[many], n[many])
-            if carried and rest[3] + size[0] > 2 and rest[4] is not None:
-                yield rows(1, *rest[4])
-                rest = (*rest[:4], None)
-            if last is None:
-                last = int(sig[0])
-                edges.append((last, int(ids[0])))
-            g = slice(start[-1], None)
             going = carried and len(start) == 1
-            rest = (int(sig[-1]), rest[1] if going else int(center[-1]), int(ids[-1]), (rest[3] if going else 0) + int(size[-1]), None)
+            rest = (int(sig[-1]), int(center[-1]), int(ids[-1]), int(size[-1]) + (rest[3] if going else 0))
         if rest is not None:
             edges.append((rest[0], rest[1]))
             edges.append((rest[0], rest[2]))
@@ -279,29 +232,31 @@ def _filter_of(wanted: DataFrame) -> np.ndarray:
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(set, tokens) of the wanted sets, made again from the texts of the documents that stand for them."""
+    """(set, tokens) of the wanted sets, made again from the texts of the documents that stand for them. A few others may be among them, and a set may come once from each of several tasks where rows repeat."""
     named = stored(wanted.select("set").distinct().join(nodes.select("set", "doc_id"), "set"), "join-wanted")
     held = docs.sparkSession.sparkContext.broadcast(_filter_of(named))
     spark_bits = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(FILTER_BITS)).cast("int").alias(f"bit{i}") for i in range(3)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, bits = Shingler(k), held.value
+        bits, seen = held.value, set()
         for batch in batches:
             hit = np.ones(len(batch), bool)
             for i in (1, 2, 3):
                 bit = batch.column(i).to_numpy()
                 hit &= (bits[bit >> 3] >> (bit & 7)) & 1 == 1
             names, parts = [], []
-            for text in batch.column(0).filter(pa.array(hit)).to_pylist():
-                tokens = shingles(text)
-                names.append(xxhash.xxh3_128_intdigest(tokens.tobytes()) & (1 << 64) - 1)
-                parts.append(tokens.view(np.int64))
+            for tokens in shingles(batch.column(0).filter(pa.array(hit)).to_pylist(), k):
+                name = xxhash.xxh3_128_intdigest(tokens.tobytes()) & (1 << 64) - 1
+                if name not in seen:
+                    seen.add(name)
+                    names.append(name)
+                    parts.append(tokens.view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64)), lists], names=["set", "tokens"])
 
     made = docs.select(text_or_empty().alias("text"), *spark_bits).mapInArrow(run, "set long, tokens array<long>")
-    return made.join(named.select("set"), "set", "left_semi").groupBy("set").agg(F.first("tokens").alias("tokens"))
+    return made
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -312,7 +267,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percen
     sets = stored(whole_sets(docs, nodes, fits.select(F.explode(F.array("a", "b")).alias("set")), k), "join-sets")
     both = fits.join(sets.toDF("b", "tb"), "b").join(sets.toDF("a", "ta"), "a")
     shared = F.size(F.array_intersect("ta", "tb"))
-    return both.where(100 * shared.cast("long") >= percent * (F.size("ta") + F.size("tb") - shared).cast("long")).select("a", "b")
+    links = stored(both.where(100 * shared.cast("long") >= percent * (F.size("ta") + F.size("tb") - shared).cast("long")).select("a", "b"), "join-links")
+    discard(sets)
+    return links
 
 
 def near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -321,9 +278,13 @@ def near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     found = frequent_shingles(docs, k)
     sets = stored(sets_with_signatures(docs, k, percent, found), "join-signatures")
     clash = F.raise_error(F.lit("two sets have the same name"))
-    nodes = sets.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signatures").alias("signatures"), F.min("check").alias("c1"), F.max("check").alias("c2"))
-    nodes = stored(nodes.select("set", "doc_id", "n", F.when(F.col("c1") == F.col("c2"), F.col("signatures")).otherwise(clash.cast("array<long>")).alias("signatures")), "join-nodes")
-    scanned = stored(scan(nodes.select("set", "n", F.explode("signatures").alias("signature"))), "join-scan")
+    full = sets.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signatures").alias("signatures"), F.min("check").alias("c1"), F.max("check").alias("c2"))
+    full = stored(full.select("set", "doc_id", "n", F.when(F.col("c1") == F.col("c2"), F.col("signatures")).otherwise(clash.cast("array<long>")).alias("signatures")), "join-full")
+    members = stored(sets.select("doc_id", "set", "n"), "join-members")
+    discard(sets)
+    nodes = stored(full.select("set", "doc_id", "n"), "join-nodes")
+    scanned = stored(scan(full.select("set", "n", F.explode("signatures").alias("signature"))), "join-scan")
+    discard(full)
 
     # two or three rows of each partition: sets of one signature that continues in another partition
     edges: dict[int, set[int]] = {}
@@ -334,7 +295,7 @@ def near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     if across:
         pairs = pairs.union(spark.createDataFrame(across, "a long, b long"))
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "join-tried")
-    links = stored(verified(pairs, docs, nodes, k, percent), "join-links")
+    links = verified(pairs, docs, nodes, k, percent)
     joined = components(links)
 
     # signatures that still hold several components: the pairs across them
@@ -351,5 +312,12 @@ def near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     owner = nodes.select("set", "doc_id").join(joined.withColumnRenamed("id", "set"), "set", "left").select("set", "doc_id", F.coalesce("component", "set").alias("component"))
     smallest = owner.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     final = stored(owner.join(smallest, "component").select("set", "component_id"), "join-components")
-    out = sets.select("doc_id", "set", "n").join(final, "set", "left")
+    out = members.join(final, "set", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one document of each component, that with the smallest doc_id; rows without a doc_id stay, and so do documents without words."""
+    groups = near_copies(docs, k, percent)
+    dropped = stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "join-dropped")
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
