@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stored, text_or_empty
@@ -49,21 +49,16 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, bu
     return out
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST_REPEATS, seed: int = 29) -> DataFrame:
-    """docs' doc_id and row key with size, source_size, target, copies and taken."""
-    spark = docs.sparkSession
-    rows = stored(
-        docs.select(
-            "doc_id", "source",
-            F.coalesce(F.regexp_count(text_or_empty(), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("row_hash"),
-        ),
-        "mix-rows",
-    )
+def _row_hash(seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source", "text"), 1)  # 63 bits, at least 0
+
+
+def thresholds(rows: DataFrame, weights: Sequence[float], budget: float, most: float) -> DataFrame:
+    """For each source of rows (source, size, row_hash): source_, passes (times that it is taken whole), below (documents with smaller hashes are taken once more), source_size and target."""
+    spark = rows.sparkSession
     sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     goal = targets(sizes, weights, budget, most)
     passes = {s: int(min(goal[s] // n, most)) if n else 0 for s, n in sizes.items()}
-    # (source, order of the source, whole passes, rest still to find, threshold: the last hash taken)
     order = {s: i for i, s in enumerate(sizes)}
     small = F.broadcast if len(sizes) <= BROADCAST_SOURCES else (lambda t: t)
 
@@ -72,15 +67,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
 
     key = by_source([(s, i) for s, i in order.items()], "s string, k int")
     rows = rows.join(key, rows["source"].eqNullSafe(key["s"])).drop("s")
-    unsigned = F.shiftrightunsigned("row_hash", 1)  # 63 bits, at least 0
     rest = {i: goal[s] - passes[s] * sizes[s] for s, i in order.items()}
     low = dict.fromkeys(rest, 0)  # all hashes below are taken
     open_, shift = {i for i in rest if rest[i] > 0}, 63
     while open_ and shift > 0:
         shift = max(0, shift - BITS)
         bounds = by_source([(i, low[i], low[i] + (1 << min(63, shift + BITS)) - 1) for i in open_], "k int, low long, high long")
-        bucket = F.shiftright(unsigned - F.col("low"), shift).alias("bucket")
-        hist = rows.join(bounds, "k").where(unsigned.between(F.col("low"), F.col("high"))).groupBy("k", bucket).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"))
+        bucket = F.shiftright(F.col("row_hash") - F.col("low"), shift).alias("bucket")
+        hist = rows.join(bounds, "k").where(F.col("row_hash").between(F.col("low"), F.col("high"))).groupBy("k", bucket).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"))
         run = Window.partitionBy("k").orderBy("bucket")
         cut = hist.withColumn("upto", F.sum("n").over(run))
         # the bucket in which the sum passes what is left; the rows before it are taken whole
@@ -99,6 +93,29 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
         for i in open_ - seen:  # all of it fits
             low[i] = (1 << 63) - 1
         open_ &= seen
-    chosen = by_source([(i, passes[s], low[i], sizes[s], float(goal[s])) for s, i in order.items()], "k int, passes int, below long, source_size long, target double")
-    copies = F.col("passes") + F.when((F.col("passes") < most) & (unsigned < F.col("below")), 1).otherwise(0)
-    return rows.join(chosen, "k").select("doc_id", "source", "row_hash", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return by_source([(s, passes[s], low[i], sizes[s], float(goal[s])) for s, i in order.items()], "source_ string, passes int, below long, source_size long, target double")
+
+
+def _taken(rows: DataFrame, chosen: DataFrame, most: float) -> DataFrame:
+    copies = F.col("passes") + F.when((F.col("passes") < most) & (F.col("row_hash") < F.col("below")), 1).otherwise(0)
+    return rows.join(chosen, rows["source"].eqNullSafe(chosen["source_"])).withColumn("copies", copies)
+
+
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    size = F.coalesce(F.regexp_count(text_or_empty(), F.lit(WORD)), F.lit(0)).cast("long")
+    return stored(docs.select("doc_id", "source", size.alias("size"), _row_hash(seed).alias("row_hash")), "mix-rows")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST_REPEATS, seed: int = 29) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken (words) of each document."""
+    rows = _sized(docs, seed)
+    out = _taken(rows, thresholds(rows, weights, budget, most), most)
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST_REPEATS, seed: int = 29) -> DataFrame:
+    """docs' rows as often as the mix takes them."""
+    chosen = thresholds(_sized(docs, seed), weights, budget, most)
+    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record__")
+    out = _taken(docs.select("source", _row_hash(seed).alias("row_hash"), record), chosen, most)
+    return out.select(F.explode(F.array_repeat("record__", F.col("copies"))).alias("record__")).select("record__.*")

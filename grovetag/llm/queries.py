@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jpeg, mixing, ngram_join, packing, ppm, sharding, warc
+from . import exact_dedup, jpeg, mixing, ngram_join, packing, ppm, quality, sharding, toxicity, warc
 from .common import table
 
 
@@ -34,6 +35,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
@@ -42,8 +47,16 @@ def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_dedup, op2_warc_revisits, op3_pack_mixture, op4_ngram_join, op5_jpeg_media, op6_mix_sources, op8_shuffle_shards, op9_ppm_scores]
+    found = [op1_exact_dedup, op2_warc_revisits, op3_pack_mixture, op4_ngram_join, op5_jpeg_media, op6_mix_sources, op7_toxicity, op8_shuffle_shards, op9_ppm_scores, op10_quality_cotraining, pipeline]
     return {f.__name__: f for f in found}
 
 

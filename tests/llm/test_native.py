@@ -39,6 +39,14 @@ def test_exact_groups_salted(spark):
     check_groups(docs.repartition(5), exact_dedup.exact_groups(docs.repartition(5)))
 
 
+def test_deduplicated(spark):
+    docs = documents(spark, extra=["hot  text"] * 120 + ["hot text"] * 300)
+    got = exact_dedup.deduplicated(docs)
+    assert got.columns == docs.columns
+    want = {(r["doc_id"]) for r in exact_dedup.exact_groups(docs).where("kept").collect()}
+    assert {r["doc_id"] for r in got.collect()} == want and got.count() == len({norm(r["text"]) for r in docs.collect()})
+
+
 def test_exact_smallest(spark):
     got = exact_dedup.exact_groups(spark.createDataFrame([(2, "a b"), (1, "ab"), (3, "c")], "doc_id long, text string"), keep="smallest")
     assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in got.collect()} == {(2, 1, False), (1, 1, True), (3, 3, True)}
