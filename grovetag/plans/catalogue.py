@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "search_new"
+from . import search_queries, store_queries, text_queries
+
+FLAGSHIP = "search_sections"
+_MODULES = [text_queries, store_queries, search_queries]
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.SQL.items()}
