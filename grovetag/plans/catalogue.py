@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import search_queries, store_queries, text_queries
+from . import more_queries, search_queries, store_queries, text_queries
 
 FLAGSHIP = "search_sections"
-_MODULES = [text_queries, store_queries, search_queries]
+_MODULES = [text_queries, store_queries, search_queries, more_queries]
 
 
 def queries() -> dict:
