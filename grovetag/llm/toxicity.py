@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 #: Labelled documents of each class that the model is fitted on at most.
-MOST_LABELLED = 4000
+MOST_LABELLED = 3000
 LANDMARKS = 240
 #: Units of clean documents that the SVM is trained against, half of them the most frequent ones.
 NEGATIVES = 8000
@@ -46,7 +46,9 @@ DECAY, SPAN = 0.7, 6
 LONGEST = 24
 BUCKETS = 1 << 20
 THRESHOLD = 0.7
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Units that are scored at a time.
+BLOCK = 20_000
 
 #: (first step, second step) of a subsequence of three characters.
 STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
@@ -129,10 +131,13 @@ class Model:
     shift: float
 
     def margins(self, names: list[str]) -> np.ndarray:
-        total = np.zeros(len(names))
-        for u, k, w in occurrences(names):
-            total += w * np.bincount(u, self.weights[k], len(names))
-        return total / _NORMS[[len(x) for x in names]] + self.bias
+        out = np.zeros(len(names))
+        for at in range(0, len(names), BLOCK):
+            part = names[at : at + BLOCK]
+            for u, k, w in occurrences(part):
+                out[at : at + BLOCK] += w * np.bincount(u, self.weights[k], len(part))
+            out[at : at + BLOCK] /= _NORMS[[len(x) for x in part]]
+        return out + self.bias
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
@@ -201,20 +206,46 @@ def with_insertion(names: list[str], rng: np.random.Generator) -> list[str]:
     return out
 
 
-def fit(bags: list[tuple[bool, list[str]]], landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 3) -> Model | None:
-    """The model of labelled documents, each its units and whether it is toxic."""
-    toxic, clean = [b for t, b in bags if t], [b for t, b in bags if not t]
-    if not toxic or not clean:
+@dataclass
+class Bags:
+    """Labelled documents: whether each is toxic, and the numbers of its distinct units (document i has ids[starts[i]:starts[i + 1]])."""
+
+    toxic: np.ndarray
+    starts: np.ndarray
+    ids: np.ndarray
+    names: list[str]
+
+    def held_by(self, toxic: bool) -> np.ndarray:
+        """By unit: how many toxic (or other) documents hold it."""
+        return np.bincount(self.ids[np.repeat(self.toxic == toxic, np.diff(self.starts))], minlength=len(self.names))
+
+    def best(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """For each document its unit with the largest margin (-1: none) and that margin."""
+        margin = model.margins(self.names)
+        unit, value = np.full(len(self.toxic), -1), np.full(len(self.toxic), model.bias)
+        for i in range(len(self.toxic)):
+            own = self.ids[self.starts[i] : self.starts[i + 1]]
+            if len(own):
+                unit[i] = own[np.argmax(margin[own])]
+                value[i] = margin[unit[i]]
+        return unit, value
+
+
+def fit(bags: Bags, landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 3) -> Model | None:
+    """The model of labelled documents."""
+    n1, n0 = int(bags.toxic.sum()), int((~bags.toxic).sum())
+    if not n1 or not n0:
         return None
     rng = np.random.default_rng(seed)
-    inside, outside = Counter(u for b in toxic for u in b), Counter(u for b in clean for u in b)
-    n1, n0 = len(toxic), len(clean)
-
+    names = bags.names
+    held1, held0 = bags.held_by(True), bags.held_by(False)
+    inside = {names[i]: int(held1[i]) for i in np.flatnonzero(held1).tolist()}
+    outside = {names[i]: int(held0[i]) for i in np.flatnonzero(held0).tolist()}
     prior = n1 / (n1 + n0)
 
     def evidence(u: str) -> float:
         """Log likelihood ratio of the unit's own share of toxic documents against the general one."""
-        p, q = inside[u], outside[u]
+        p, q = inside[u], outside.get(u, 0)
         share = p / (p + q)
         return 0.0 if share <= prior else p * math.log(share / prior) + (q * math.log((1 - share) / (1 - prior)) if q else 0.0)
 
@@ -241,8 +272,8 @@ def fit(bags: list[tuple[bool, list[str]]], landmarks: int = LANDMARKS, rounds:
         against = negatives + hard
         x = kernel(witnesses + more + against, chosen) @ root
         y = np.r_[np.ones(len(witnesses) + len(more)), -np.ones(len(against))]
-        held = np.array([max(1, inside[u]) for u in witnesses], float)  # a word counts as often as toxic documents hold it
-        held_more = np.array([max(1, inside[u]) for u in witnesses if len(u) > 3], float)
+        held = np.array([max(1, inside.get(u, 0)) for u in witnesses], float)  # a word counts as often as toxic documents hold it
+        held_more = np.array([max(1, inside.get(u, 0)) for u in witnesses if len(u) > 3], float)
         share = np.r_[held / held.sum(), 0.5 * held_more / max(1, held_more.sum()), np.full(len(against), 30 / len(against))]
         w, bias = linear_svm(x, y, share * len(y), cost=1.0)
         alpha = root @ w
@@ -251,21 +282,19 @@ def fit(bags: list[tuple[bool, list[str]]], landmarks: int = LANDMARKS, rounds:
         model = Model(table, bias, 1.0, 0.0)
         # the worst units of clean documents join the negatives; each toxic document names its best unit
         old = set(negatives) | set(marked)
-        worst = {u: m for u, m in _best(model, clean) if u and m > -0.5 and u not in old}
+        unit, value = bags.best(model)
+        worst: dict[str, float] = {}
+        for i, m in zip(unit[~bags.toxic].tolist(), value[~bags.toxic].tolist(), strict=True):
+            if i >= 0 and m > -0.5 and names[i] not in old:
+                worst[names[i]] = m
         hard = sorted(worst.keys() | set(hard), key=lambda u: (-worst.get(u, -1.0), u))
-        witnesses = sorted({u for u, m in _best(model, toxic) if u and m > 0.3 and not outside[u]} | set(marked[:1000]))
-    margins = np.array([m for _, m in _best(model, [b for _, b in bags])])
-    model.slope, model.shift = platt(margins, np.array([t for t, _ in bags]))
+        named = {names[i] for i, m in zip(unit[bags.toxic].tolist(), value[bags.toxic].tolist(), strict=True) if i >= 0 and m > 0.3}
+        witnesses = sorted({u for u in named if u not in outside} | set(marked[:1000]))
+    model.slope, model.shift = platt(bags.best(model)[1], bags.toxic)
     return model
 
 
-def _best(model: Model, bags: list[list[str]]) -> list[tuple[str | None, float]]:
-    names = sorted({u for b in bags for u in b})
-    margin = dict(zip(names, model.margins(names).tolist(), strict=True)) if names else {}
-    return [max(((u, margin[u]) for u in b), key=lambda x: (x[1], x[0]), default=(None, model.bias)) for b in bags]
-
-
-def training_bags(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> list[tuple[bool, list[str]]]:
+def training_bags(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Bags:
     """Units of up to `most` toxic and as many other labelled documents that aren't held out, chosen by a hash of their doc_id."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [known.where(f"toxic {op} 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for op in ("<>", "=")]
@@ -276,9 +305,15 @@ def training_bags(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
             own = [sorted(document_units(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "toxic", "units"])
 
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(chosen, "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id string, toxic boolean, units array<string>").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
-    return [(bool(t), list(u)) for t, u in zip(rows["toxic"], rows["units"], strict=True)]
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(chosen, "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id string, toxic boolean, units array<string>").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending")]).combine_chunks()
+    if not len(rows):
+        return Bags(np.empty(0, bool), np.zeros(1, np.int64), np.empty(0, np.int64), [])
+    lists = rows.column("units").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    coded = lists.flatten().dictionary_encode()
+    sizes = np.array(lists.value_lengths())
+    return Bags(np.array(rows.column("toxic")), np.concatenate([[0], np.cumsum(sizes)]), coded.indices.to_numpy(), coded.dictionary.to_pylist())
 
 
 def margins(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -290,12 +325,12 @@ def margins(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         own = held.value
         memo: dict[str, float] = {}
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
+            texts = batch.column(len(keep))
             out, at = [], 0
             while at < len(texts):
                 split, size = [], 0
-                while at < len(texts) and size < 1_500_000:
-                    split.append(texts[at].split())
+                while at < len(texts) and size < 300_000:
+                    split.append(texts[at].as_py().split())
                     size += len(split[-1])
                     at += 1
                 tokens = sorted({t for s in split for t in s} - memo.keys())
