@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that the contracts split words at.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -36,21 +38,44 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written as a table in the shared folder and read again: later steps start from the files, also after the loss of executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    path, conf = scratch_path(df.sparkSession, label), df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")  # the shuffles behind the table go as soon as it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables of stored() whose readers have all been written themselves, and lets Spark's cleaner see that the shuffles behind them are no longer in use (it frees their files only after a collection of the driver's garbage)."""
+    """Deletes tables of stored() whose readers have all been written themselves."""
     for t in tables:
         jvm = t.sparkSession.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(t.stored_path)
         where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of some rows, so that what Python makes of a piece stays small."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
+def most_frequent(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows with the largest counts in a column, `most` at most: all those above a cut that a histogram of the counts gives (no sort, and nothing but the histogram goes to the driver)."""
+    n = F.col(column)
+    step = F.when(n < 1024, n).otherwise(1024 + F.floor(64 * F.log2(n / 1024))).cast("long")
+    held, cut = 0, None
+    for r in sorted(rows.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        held += r["count"]
+        if held > most:
+            break
+        cut = r["step"]
+    return rows.where(step >= cut) if cut is not None else rows.limit(0)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -3,8 +3,7 @@
 Text is lower-cased (A-Z), its words are joined by one space and ended by a line
 feed, which no word can hold. Counts of all contexts of up to ORDER bytes come from all
 training documents. The trie keeps the contexts that occur most, as many as a table
-of CELLS cells has room for (shorter ones first among equals, so with a context its suffixes and its
-prefixes stay). Escapes follow method C, q / (n + q) for q distinct symbols in n, and a
+of CELLS cells has room for; with a context its suffixes and its prefixes stay, as they occur as often. Escapes follow method C, q / (n + q) for q distinct symbols in n, and a
 symbol seen in a longer context is excluded in the shorter ones. As the model is trained
 beforehand, the probability of a symbol depends on the longest context in the trie
 alone: the trie becomes an automaton with one row of log probabilities and one of next
@@ -31,16 +30,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, stored, text_or_empty
+from .common import LOWER, most_frequent, slices, stored, text_or_empty
 
 ORDER = 4
 END = b"\n"
 CELLS = 1 << 23
 TOP_WORDS = 1 << 18
 #: Bytes that are counted or scored at a time, and bytes of a stretch.
-CHUNK, STRETCH = 4 << 20, 256
+CHUNK, STRETCH = 2 << 20, 256
 #: Distinct words, and distinct contexts, that a task holds before it passes them on.
-HELD_WORDS, HELD_GRAMS = 600_000, 4_000_000
+HELD_WORDS, HELD_GRAMS = 300_000, 2_000_000
+#: Contexts whose rows are worked out at a time.
+BLOCK = 2048
 
 
 def held_out(column: str = "doc_id", parts: int = 7, out: int = 2) -> Column:
@@ -92,7 +93,7 @@ def counts(training: DataFrame) -> DataFrame:
             grams.clear()
             size = 0
 
-        for batch in batches:
+        for batch in slices(batches, 1000):
             for words, data, starts in _chunks(batch.column(0).to_pylist()):
                 for own in words:
                     seen.update(own)
@@ -157,29 +158,32 @@ def build(grams: list[tuple[np.ndarray, np.ndarray]], contexts: list[np.ndarray]
     step = np.zeros((base[-1], width), np.int32)
     below = count = None  # of the order before: probability after an escape, counts
     for j, own in enumerate(contexts):
-        ids = np.arange(base[j], base[j + 1])
         keys, n = grams[j]
-        new = np.zeros((len(own), width), np.float32)
-        if len(keys):
-            new[np.searchsorted(own, keys >> 8), symbol[keys & 255]] = n
-        has = new > 0
-        total, kinds = new.sum(1, dtype=np.float64)[:, None], has.sum(1)[:, None].astype(np.float64)
-        if not j:
-            after = np.zeros((1, width))
-            if unseen:
-                after[0, -1] = 1 / unseen
-        else:
-            up = np.searchsorted(contexts[j - 1], own & ((1 << 8 * (j - 1)) - 1))
-            parent = count[up]
-            left = parent.sum(1, dtype=np.float64)[:, None] - (parent * has).sum(1, dtype=np.float64)[:, None]
-            other = (parent > 0).sum(1)[:, None] - kinds
-            whole = left + other
-            escape = np.where(whole > 0, other / np.maximum(whole, 1), 1)
-            after = np.where(parent > 0, parent / np.maximum(whole, 1), escape * below[up])
-            step[ids] = step[base[j - 1] + up]
-        out = total + kinds
-        prob[ids] = np.where(has, new / np.maximum(out, 1), np.where(out > 0, kinds / np.maximum(out, 1), 1) * after)
-        below, count = after.astype(np.float32), new
+        row = np.searchsorted(own, keys >> 8)
+        all_after, all_new = np.zeros((len(own), width), np.float32), np.zeros((len(own), width), np.float32)
+        all_new[row, symbol[keys & 255]] = n
+        for at in range(0, len(own), BLOCK):
+            ids = np.arange(base[j] + at, base[j] + min(at + BLOCK, len(own)))
+            new = all_new[at : at + BLOCK].astype(np.float64)
+            has = new > 0
+            total, kinds = new.sum(1)[:, None], has.sum(1)[:, None].astype(np.float64)
+            if not j:
+                after = np.zeros((1, width))
+                if unseen:
+                    after[0, -1] = 1 / unseen
+            else:
+                up = np.searchsorted(contexts[j - 1], own[at : at + BLOCK] & ((1 << 8 * (j - 1)) - 1))
+                parent = count[up].astype(np.float64)
+                left = parent.sum(1)[:, None] - (parent * has).sum(1)[:, None]
+                other = (parent > 0).sum(1)[:, None] - kinds
+                whole = left + other
+                escape = np.where(whole > 0, other / np.maximum(whole, 1), 1)
+                after = np.where(parent > 0, parent / np.maximum(whole, 1), escape * below[up])
+                step[ids] = step[base[j - 1] + up]
+            out = total + kinds
+            prob[ids] = np.where(has, new / np.maximum(out, 1), np.where(out > 0, kinds / np.maximum(out, 1), 1) * after)
+            all_after[at : at + BLOCK] = after
+        below, count = all_after, all_new
         if j + 1 < len(contexts) and len(contexts[j + 1]):
             longer = contexts[j + 1]
             step[base[j] + np.searchsorted(own, longer >> 8), symbol[longer & 255]] = np.arange(base[j + 1], base[j + 2])
@@ -187,7 +191,7 @@ def build(grams: list[tuple[np.ndarray, np.ndarray]], contexts: list[np.ndarray]
     for _ in range(ORDER):
         first = step[first, lf]
     with np.errstate(divide="ignore"):
-        logp = np.log10(prob)
+        logp = np.log10(prob, out=prob)
     if not unseen:
         logp[:, -1] = 0  # no byte has this symbol
     return Automaton(logp.ravel(), step.ravel(), symbol, width, int(first))
@@ -198,15 +202,17 @@ def train(counted: DataFrame, cells: int = CELLS) -> Automaton:
     orders = F.explode(F.array(*[F.struct(F.lit(j).alias("order"), F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("gram"), "n") for j in range(ORDER + 1)])).alias("x")
     grams = stored(counted.where("kind = 0").select(orders).select("x.*").groupBy("order", "gram").agg(F.sum("n").alias("n")), "ppm-grams")
     width = grams.where("order = 0").count() + 1  # 257 at most
-    top = grams.groupBy("order", F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "order", "context").limit(max(1, cells // width))
-    top = stored(top.select("order", "context"), "ppm-contexts")
-    kept = top.toPandas()  # cells / width rows
-    held = grams.withColumn("context", F.shiftright("gram", 8)).join(F.broadcast(top), ["order", "context"], "left_semi").select("order", "gram", "n").toPandas()  # cells rows at most
-    by_order, contexts = [], []
-    for j in range(ORDER + 1):
-        own = held[held["order"] == j].sort_values("gram")
-        by_order.append((own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.int64)))
-        contexts.append(np.sort(kept[kept["order"] == j]["context"].to_numpy(np.int64)) if j else np.zeros(1, np.int64))
+    # a context occurs at most as often as its suffixes and prefixes, so a cut by occurrences keeps those as well
+    every = stored(grams.groupBy("order", F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("n")).where("order > 0"), "ppm-occurrences")
+    root = grams.where("order = 0").select("order", F.lit(0).cast("long").alias("context")).distinct()
+    top = stored(most_frequent(every, "n", cells // width).select("order", "context").union(root), "ppm-contexts")
+    kept = top.toArrow()  # cells / width rows
+    held = grams.withColumn("context", F.shiftright("gram", 8)).join(F.broadcast(top), ["order", "context"], "left_semi").select("order", "gram", "n").toArrow()  # cells rows at most
+    order, gram, n = (held.column(c).to_numpy() for c in ("order", "gram", "n"))
+    del held
+    own_order, own = (kept.column(c).to_numpy() for c in ("order", "context"))
+    by_order = [(gram[order == j], n[order == j]) for j in range(ORDER + 1)]
+    contexts = [np.sort(own[own_order == j]) if j else np.zeros(1, np.int64) for j in range(ORDER + 1)]
     return build(by_order, contexts)
 
 
@@ -218,8 +224,8 @@ def score(docs: DataFrame, parts: int = 7, out: int = 2) -> DataFrame:
     words = counted.where("kind = 1").select("key", "n")
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, unit = total["n"] or 0, float(np.log10((total["n"] or 0) + total["v"] + 1))
-    often = words.orderBy(F.col("n").desc(), "key").limit(TOP_WORDS).toPandas()
-    top = spark.sparkContext.broadcast((often["key"].to_numpy(np.int64), np.log10(often["n"].to_numpy(np.float64) + 1)))  # TOP_WORDS rows
+    often = most_frequent(words, "n", TOP_WORDS).toArrow()
+    top = spark.sparkContext.broadcast((often.column("key").to_numpy(), np.log10(often.column("n").to_numpy() + 1.0)))  # TOP_WORDS rows
     model = spark.sparkContext.broadcast(train(counted))  # 8 * CELLS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +242,7 @@ def score(docs: DataFrame, parts: int = 7, out: int = 2) -> DataFrame:
                 return at
 
         places, row = Places(), TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in slices(batches, 1000):
             at = 0
             for words, data, starts in _chunks(batch.column(2).to_pylist()):
                 n = np.array([len(w) + 1 for w in words])
