@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import analysis
 from ..operators import forests, scoring, search, store
+from ..sources.stores import written
 from . import inputs
 from .inputs import FIELDS, INSTANCE, sql_words, table
 
@@ -240,7 +241,7 @@ def _given(spark, sf) -> DataFrame:
 
 
 def _section_scores(spark, sf, section: str | None = None) -> DataFrame:
-    catalogue = inputs.catalogue(spark, sf).where("doc_type <> 'new_model_page'")
+    catalogue = written(inputs.catalogue(spark, sf).where("doc_type <> 'new_model_page'"), "catalogue")
     asked = search.clauses(search.readings(_given(spark, sf), INSTANCE), INSTANCE)
     asked = asked.where(F.col("section") == section) if section else asked
     scores = search.clause_scores(asked, search.catalogue_postings(catalogue, FIELDS))
@@ -339,9 +340,9 @@ def autocomplete_projection(spark, sf):
 
 
 def _engine(spark, sf):
-    records = store.build_store(inputs.entities(spark, sf))
-    catalogue = inputs.catalogue(spark, sf)
-    return records, store.postings(records), catalogue, search.catalogue_postings(catalogue, FIELDS)
+    records = written(store.build_store(inputs.entities(spark, sf)), "store")
+    catalogue = written(inputs.catalogue(spark, sf), "catalogue")
+    return records, written(store.postings(records), "postings"), catalogue, written(search.catalogue_postings(catalogue, FIELDS), "catalogue-postings")
 
 
 @_query()

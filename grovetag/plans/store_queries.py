@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import forests, matching, retrieval, scoring, search, store
+from ..sources.stores import written
 from . import inputs
 from .inputs import INSTANCE, SQL_ENTITIES, SQL_POSTINGS, SQL_QUERIES, SQL_RETRIEVAL
 
@@ -78,8 +79,8 @@ def posting_build(spark, sf):
 
 
 def _posting(spark, sf) -> tuple[DataFrame, DataFrame]:
-    records = store.build_store(inputs.entities(spark, sf))
-    return records, store.postings(records)
+    records = written(store.build_store(inputs.entities(spark, sf)), "store")
+    return records, written(store.postings(records), "postings")
 
 
 def _spans(spark) -> DataFrame:

@@ -45,3 +45,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
+
+
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """rows as a table in a new shared folder: a store is built once and then read by each query, with its columns pruned."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
