@@ -12,7 +12,8 @@ powers of two; sets whose partners may fall in the next step use both steps.
 
 Signatures are range-partitioned by (signature, set), so a frequent one runs over many
 partitions. A scan of the sorted rows pairs each set with the first set of its
-signature; these pairs are verified on the whole sets and give components. Only where a
+signature; these pairs are verified on the whole sets (after a look at bitmaps, which excludes most
+of those that aren't linked, and none that is) and give components. Only where a
 signature still holds several components, the pairs across them are verified as well. So
 no link that could join two components is missed, and groups of near copies cost a
 few pairs a set, not all pairs.
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored, text_or_empty
+from .common import discard, most_frequent, slices, stored, text_or_empty
 from .components import components
 from .shingles import mixed, shingles
 
@@ -46,7 +47,9 @@ PERCENT = 85
 FREQUENT = 32
 MOST_FREQUENT = 1 << 18
 #: Shingles that a task counts at a time.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
+#: Rows that a task works on at a time.
+ROWS = 500
 #: Bits of the filter of the documents whose sets are wanted.
 FILTER_BITS = 1 << 24
 #: Texts that a task remembers to have seen.
@@ -76,7 +79,7 @@ def frequent_shingles(docs: DataFrame, k: int, frequent: int = FREQUENT, most: i
                     both, total = both[keep], total[keep]
                 keys, counts, held, size = both, total, [], 0
 
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             fresh = []
             for text in batch.column(0).to_pylist():
                 name = xxhash.xxh3_64_intdigest(text)
@@ -93,8 +96,8 @@ def frequent_shingles(docs: DataFrame, k: int, frequent: int = FREQUENT, most: i
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["token", "n"])
 
     counted = docs.select(text_or_empty().alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= frequent).orderBy(F.col("n").desc(), "token").limit(most).select("token").toPandas()
-    return np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
+    top = most_frequent(stored(counted.where(F.col("n") >= frequent), "join-frequent"), "n", most).select("token").toArrow()
+    return np.sort(top.column("token").to_numpy().view(np.uint64))
 
 
 def level(n: int) -> int:
@@ -137,25 +140,48 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
     return np.unique(np.concatenate(out))
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Which of 2 to 4 times as many cells as there are tokens are hit, the cell being the token's low bits."""
+    bits = np.zeros(max(64, 1 << (2 * len(tokens)).bit_length()), bool)
+    bits[(tokens & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_link(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
+    """Whether sets with these bitmaps can reach the threshold: each cell that one hits and the other doesn't is a token that isn't shared."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    m, n = 8 * len(a), 8 * len(b)
+    while m > n:
+        m //= 2
+        x = (x >> m) | (x & ((1 << m) - 1))
+    while n > m:
+        n //= 2
+        y = (y >> n) | (y & ((1 << n) - 1))
+    both = x & y
+    most = min(na - (x ^ both).bit_count(), nb - (y ^ both).bit_count())
+    return 100 * most >= percent * (na + nb - most)
+
+
 def sets_with_signatures(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, set and check (two hashes of the set), n and its signatures."""
+    """doc_id, set and check (two hashes of the set), n, its bitmap and its signatures."""
     kind = dict(docs.dtypes)["doc_id"]
     held = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST_FREQUENT numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, checks, sizes, parts = [], [], [], []
+        for batch in slices(batches, ROWS):
+            names, checks, sizes, bits, parts = [], [], [], [], []
             for tokens in shingles(batch.column(1).to_pylist(), k):
                 d = xxhash.xxh3_128_intdigest(tokens.tobytes())
                 names.append(d & (1 << 64) - 1)
                 checks.append(d >> 64)
                 sizes.append(len(tokens))
+                bits.append(bitmap(tokens))
                 parts.append(signatures(tokens, held.value, percent).view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(np.array(checks, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], names=["doc_id", "set", "check", "n", "signatures"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(np.array(checks, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), lists], names=["doc_id", "set", "check", "n", "bits", "signatures"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, set long, check long, n int, signatures array<long>")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, set long, check long, n int, bits binary, signatures array<long>")
 
 
 def scan(postings: DataFrame) -> DataFrame:
@@ -239,7 +265,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = held.value, set()
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             hit = np.ones(len(batch), bool)
             for i in (1, 2, 3):
                 bit = batch.column(i).to_numpy()
@@ -261,14 +287,21 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) ->
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
-    sizes = nodes.select("set", "n")
-    fits = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long"))
-    fits = stored(fits, "join-pairs")
+    own = nodes.select("set", "n", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, ba, nb, bb = (batch.column(c).to_pylist() for c in ("na", "ba", "nb", "bb"))
+            keep = pa.array([may_link(*x, percent) for x in zip(ba, bb, na, nb, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    tried = pairs.join(own.toDF("a", "na", "ba"), "a").join(own.toDF("b", "nb", "bb"), "b").where(100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long"))
+    fits = stored(tried.mapInArrow(run, "a long, b long"), "join-pairs")
     sets = stored(whole_sets(docs, nodes, fits.select(F.explode(F.array("a", "b")).alias("set")), k), "join-sets")
     both = fits.join(sets.toDF("b", "tb"), "b").join(sets.toDF("a", "ta"), "a")
     shared = F.size(F.array_intersect("ta", "tb"))
     links = stored(both.where(100 * shared.cast("long") >= percent * (F.size("ta") + F.size("tb") - shared).cast("long")).select("a", "b"), "join-links")
-    discard(sets)
+    discard(sets, fits)
     return links
 
 
@@ -278,11 +311,11 @@ def near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     found = frequent_shingles(docs, k)
     sets = stored(sets_with_signatures(docs, k, percent, found), "join-signatures")
     clash = F.raise_error(F.lit("two sets have the same name"))
-    full = sets.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signatures").alias("signatures"), F.min("check").alias("c1"), F.max("check").alias("c2"))
-    full = stored(full.select("set", "doc_id", "n", F.when(F.col("c1") == F.col("c2"), F.col("signatures")).otherwise(clash.cast("array<long>")).alias("signatures")), "join-full")
+    full = sets.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("signatures").alias("signatures"), F.min("check").alias("c1"), F.max("check").alias("c2"))
+    full = stored(full.select("set", "doc_id", "n", "bits", F.when(F.col("c1") == F.col("c2"), F.col("signatures")).otherwise(clash.cast("array<long>")).alias("signatures")), "join-full")
     members = stored(sets.select("doc_id", "set", "n"), "join-members")
     discard(sets)
-    nodes = stored(full.select("set", "doc_id", "n"), "join-nodes")
+    nodes = stored(full.select("set", "doc_id", "n", "bits"), "join-nodes")
     scanned = stored(scan(full.select("set", "n", F.explode("signatures").alias("signature"))), "join-scan")
     discard(full)
 
@@ -301,6 +334,7 @@ def near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     # signatures that still hold several components: the pairs across them
     postings = scanned.where("kind = 1").select(F.col("a").alias("signature"), F.col("b").alias("set"), "n").join(joined.withColumnRenamed("id", "set"), "set", "left")
     postings = stored(postings.select("signature", "set", "n", F.coalesce("component", "set").alias("component")), "join-postings")
+    discard(scanned)
     mixed = postings.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
     left = postings.join(mixed, "signature")
     a, b = left.toDF("signature", "a", "na", "ca"), left.toDF("signature", "b", "nb", "cb")

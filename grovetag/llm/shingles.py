@@ -10,7 +10,7 @@ import numpy as np
 from .common import LOWER
 
 #: Bytes that are hashed at a time.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _FACTOR = 0x9E3779B97F4A7C15  # odd
 _INVERSE = pow(_FACTOR, -1, 1 << 64)

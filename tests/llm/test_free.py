@@ -273,5 +273,6 @@ def test_signatures_miss_no_partner(n, changed, seed, often):
     other = np.unique(np.concatenate([rng.permutation(base)[changed:], rng.integers(0, 2**63, int(rng.integers(0, changed + 1)), np.uint64)]))
     shared = len(np.intersect1d(base, other))
     if shared and 100 * shared >= 85 * (len(base) + len(other) - shared):
+        assert ngram_join.may_link(ngram_join.bitmap(base), ngram_join.bitmap(other), len(base), len(other), 85)
         a, b = (ngram_join.signatures(x, frequent) for x in (base, other))
         assert len(np.intersect1d(a, b))
