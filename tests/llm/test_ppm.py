@@ -1,3 +1,4 @@
+import functools
 import math
 import re
 import zlib
@@ -82,6 +83,20 @@ def test_pruned_model_is_a_distribution(spark, docs):
     assert len(table) > 20 and np.allclose(table.sum(1), 1, atol=1e-4)
 
 
+def test_contexts_outside_the_table_count(spark, docs, monkeypatch):
+    monkeypatch.setattr(ppm, "train", functools.partial(ppm.train, cells=2000))
+    odd = spark.createDataFrame([(7_000_001, "zq\u00ff once the zqxj"), (7_000_002, "zqxj the")], "doc_id long, text string")
+    some = docs.select("doc_id", "text").union(odd)
+    brute = Brute([r["text"] for r in some.collect() if not split(r["doc_id"])])
+    want = defaultdict(list)
+    for r in some.collect():
+        want[r["doc_id"]].append(brute.score(r["text"]))
+    got = ppm.score(some).collect()
+    assert len(got) == some.count()
+    for r in got:
+        assert any(r["score"] == pytest.approx(w, rel=1e-5) for w in want[r["doc_id"]])
+
+
 def test_stretches_do_not_matter(spark, docs, monkeypatch):
     automaton = ppm.train(ppm.counts(docs))
     texts = [r["text"] or "" for r in docs.collect()]
