@@ -96,6 +96,29 @@ def test_cotraining_uses_the_pool():
     assert accuracy(rest) >= accuracy(slice(0, 0)) > 0.7
 
 
+def test_cotraining_reads_all_unlabelled_documents(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    free = spark.range(10_000, 20_000).selectExpr("id as doc_id", "concat('the ', id) as text", "'en' as lang", "'a' as source", "9L as n_chars")
+    sizes = []
+    monkeypatch.setattr(quality, "cotrain", lambda own, good, pool, **_: sizes.append(len(pool[0]) if isinstance(pool, list) else len(pool)))
+    quality.train(docs.union(free), labels)
+    unlabelled = [i for i in range(500) if i % 10 == 0] + list(range(10_000, 20_000))
+    assert sizes == [sum(not split(i) for i in unlabelled)]
+
+
+def test_cotraining_in_tasks_as_in_arrays(spark, labelled):
+    docs, labels = labelled
+    columns = ["doc_id", "label", "source", "lang", "n_chars", "text"]
+    rows = docs.withColumn("label", (docs.doc_id % 5 != 0).cast("int")).select(columns)
+    (a, label), (b, _) = quality.featured(rows.where("doc_id < 60")), quality.featured(rows.where("doc_id >= 60"))
+    one = quality.cotrain(a, label == 1, b, growth=40)
+    two = quality.cotrain(a, label == 1, quality.StoredPool(rows.where("doc_id >= 60").repartition(3)), growth=40)
+    none = quality.cotrain(a, label == 1, [x[:0] for x in b])
+    for v in (0, 1):
+        w = [m.parts[v][2] for m in (one, two, none)]
+        assert np.linalg.norm(w[0] - w[1]) < 0.2 * np.linalg.norm(w[0] - w[2])
+
+
 def test_empty(spark, labelled):
     assert toxicity.score(empty(spark), labelled[1]).count() == 0
     assert quality.score(empty(spark), labelled[1]).count() == 0
