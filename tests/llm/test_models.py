@@ -59,6 +59,13 @@ def test_toxicity_of_altered_insults(spark, labelled):
     assert len(got) == len(rows) and all(by[i] > 0.7 for i in (0, 1, 2, 3, 4)) and all(by[i] < 0.3 for i in (5, 90, 91, 92))
 
 
+def test_toxicity_learns_from_4000_of_a_class(spark):
+    docs = spark.range(5600).selectExpr("id as doc_id", "concat('word', id % 50) as text")
+    labels = spark.range(5600).selectExpr("id as doc_id", "0 as toxic")
+    bags = toxicity.training_bags(docs, labels)
+    assert 3000 < sum(not split(i) for i in range(5600)) == len(bags.toxic) < 4000
+
+
 def test_long_tokens_are_read_whole():
     assert "".join(toxicity.units("abcdefghij" * 9)).count("a") > 8
     assert any("zzidiotzz" in u for u in toxicity.units("q" * 500 + "zzidiotzz" + "q" * 77))
