@@ -351,7 +351,9 @@ def near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
 
 
 def without_near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, that with the smallest doc_id; rows without a doc_id stay, and so do documents without words."""
-    groups = near_copies(docs, k, percent)
-    dropped = stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "join-dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """docs with one document of each component, that with the smallest doc_id, in all its rows; rows without a doc_id stay, and so do documents without words. A row is told from others of its doc_id by its text."""
+    name = F.xxhash64(text_or_empty())
+    keyed = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", name.alias("name"))).alias("doc_id"), "text")
+    groups = near_copies(keyed, k, percent)
+    dropped = stored(groups.where("doc_id.doc_id <> component_id.doc_id").select(F.col("doc_id.doc_id").alias("dropped_id"), F.col("doc_id.name").alias("dropped_name")).distinct(), "join-dropped")
+    return docs.join(dropped, (docs["doc_id"] == F.col("dropped_id")) & (name == F.col("dropped_name")), "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])

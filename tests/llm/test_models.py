@@ -140,6 +140,14 @@ def test_without_near_copies(spark):
     assert Counter(r["doc_id"] for r in got.collect()) == want
 
 
+def test_without_near_copies_of_shared_ids(spark):
+    rng = random.Random(12)
+    base, other = prose(rng, 200), prose(rng, 150)
+    rows = [(1, base), (2, base + " more"), (2, other), (3, None), (3, base + " less"), (4, other + " end")]
+    got = ngram_join.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(1, base), (2, other), (3, None)])
+
+
 def test_mixed_documents(spark):
     docs = documents(spark)
     want = Counter()
