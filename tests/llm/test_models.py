@@ -148,6 +148,13 @@ def test_without_near_copies_of_shared_ids(spark):
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(1, base), (2, other), (3, None)])
 
 
+def test_pipeline_drops_longer_copies(spark):
+    words = [f"w{i}" for i in range(244)]
+    rows = [(1, " ".join(words[:200])), (2, " ".join(words)), (3, " ".join(words[:150]))]  # similarities 0.82, 0.74 and 0.61
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r["doc_id"] for r in got.collect()} == {1, 3}
+
+
 def test_mixed_documents(spark):
     docs = documents(spark)
     want = Counter()
