@@ -101,13 +101,13 @@ def _extended(bits: int, c: int) -> int:
 
 
 def frames(media: bytes) -> Iterator[dict]:
-    """The parsed pictures in media: width, height, components, quantisers, tables, restart interval and the scan without stuffing, split at restarts."""
+    """The parsed pictures in media: width, height, components, quantisers, tables, restart interval and the scan of the first component without stuffing, split at restarts, as they were in force for it."""
     at = 0
     while at < len(media):
         if media[at : at + 2] != b"\xff\xd8":
             raise ValueError("no start of image")
         at += 2
-        f = {"quant": {}, "tables": {}, "restart": 0}
+        f, quant, tables, restart = {}, {}, {}, 0
         while True:
             if media[at] != 0xFF:
                 raise ValueError("no marker where one must be")
@@ -124,12 +124,12 @@ def frames(media: bytes) -> Iterator[dict]:
             if marker == 0xDB:
                 while body:
                     wide, k = body[0] >> 4, body[0] & 15
-                    f["quant"][k] = struct.unpack_from(">H", body, 1)[0] if wide else body[1]  # only the DC step is used
+                    quant[k] = struct.unpack_from(">H", body, 1)[0] if wide else body[1]  # only the DC step is used
                     body = body[1 + 64 * (1 + wide) :]
             elif marker == 0xC4:
                 while body:
                     k = 17 + sum(body[1:17])
-                    f["tables"][body[0]] = body[1:k]
+                    tables[body[0]] = body[1:k]
                     body = body[k:]
             elif marker in (0xC0, 0xC1):
                 _, f["height"], f["width"], count = struct.unpack_from(">BHHB", body)
@@ -137,9 +137,9 @@ def frames(media: bytes) -> Iterator[dict]:
             elif 0xC2 <= marker <= 0xCF and marker != 0xC8:
                 raise ValueError("not a baseline JPEG")
             elif marker == 0xDD:
-                (f["restart"],) = struct.unpack(">H", body)
+                (restart,) = struct.unpack(">H", body)
             elif marker == 0xDA:
-                f["scan"] = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
+                scan = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
                 end = at
                 while True:  # the next marker that isn't stuffing or a restart
                     end = media.index(b"\xff", end)
@@ -148,7 +148,7 @@ def frames(media: bytes) -> Iterator[dict]:
                     else:
                         break
                 raw, parts = media[at:end], []
-                if f["restart"]:
+                if restart:
                     start = i = 0
                     while (i := raw.find(b"\xff", i)) >= 0:
                         if raw[i + 1]:
@@ -156,7 +156,9 @@ def frames(media: bytes) -> Iterator[dict]:
                             start = i + 2
                         i += 2
                     raw = raw[start:]
-                f["data"] = [p.replace(b"\xff\x00", b"\xff") for p in (*parts, raw)]
+                if next(iter(f["components"])) in dict(scan):  # other scans hold other components
+                    f |= {"quant": dict(quant), "tables": dict(tables), "restart": restart, "scan": scan}
+                    f["data"] = [p.replace(b"\xff\x00", b"\xff") for p in (*parts, raw)]
                 at = end
         yield f
 

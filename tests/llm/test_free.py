@@ -198,6 +198,20 @@ def test_jpeg_colour(ac, restart):
     assert np.array_equal(jpeg.luminance(f), np.clip((want * 4 + 4) // 8 + 128, 0, 255))
 
 
+def test_jpeg_with_a_scan_for_each_component():
+    data = np.random.default_rng(3).integers(0, 256, 64, np.uint8).tobytes()
+    grey, other = jpeg.encode(data), jpeg.encode(bytes(reversed(data)))
+    frame, scan = grey.index(b"\xff\xc0"), grey.index(b"\xff\xda")
+    (height, width), name = struct.unpack_from(">HH", grey, frame + 5), grey[frame + 10]
+    head = jpeg._segment(0xC0, struct.pack(">BHHB", 8, height, width, 2) + bytes([name, 0x11, 0, name + 1, 0x11, 0]))
+    (size,) = struct.unpack_from(">H", grey, frame + 2)
+    later = other[other.index(b"\xff\xda") : -2]
+    later = later[:5] + bytes([name + 1]) + later[6:]
+    again = jpeg._segment(0xDB, bytes([0, 9] + [1] * 63))
+    (f,) = jpeg.frames(grey[:frame] + head + grey[frame + 2 + size : -2] + again + later + b"\xff\xd9")
+    assert scan > frame and jpeg.luminance(f).tobytes() == data
+
+
 def test_media(spark):
     docs = documents(spark)
     got = jpeg.media_columns(jpeg.store_media(docs)).collect()
