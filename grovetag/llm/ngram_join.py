@@ -1,25 +1,32 @@
 """Jaccard self-join on word shingles with token-combination prefixes.
 
-Tokens are the hashes of k-word shingles, ordered rare ones first and by hash within
-a class. Two sets can only reach the threshold if they share tokens in their
+Tokens are the hashes of k-word shingles, ordered rare ones first, then frequent ones, then very
+frequent ones, and by hash within these. Two sets can only reach the threshold if they share tokens in their
 prefixes. A rare token is a signature by itself. Tokens that a summary over all documents
-finds frequent form classes that need a shared *pair*: each class of the prefix with n
-tokens counts n - 1 towards the length the prefix must reach, so the prefix is
-extended, and its signatures are the pairs within a class. (With fewer than two shared
-tokens in each class and no shared rare token, the prefix alone has more unshared tokens than
+finds frequent form classes that need a shared pair, and very frequent ones classes that need a shared
+triple: a class of the prefix with n tokens counts n - 1 (n - 2) towards the length the prefix must
+reach, so the prefix is extended, and its signatures are the pairs (triples) within a class. (With fewer
+shared tokens in each class and no shared rare token, the prefix alone has more unshared tokens than
 the threshold allows.) The number of classes follows the size of the set, in
 powers of two; sets whose partners may fall in the next step use both steps.
 
-Signatures are range-partitioned by (signature, set), so a frequent one runs over many
+A set with signatures of frequent tokens has all its rare tokens among its signatures. So a pair that
+meets in a frequent signature alone shares no rare token, and its sets have at most as many tokens in
+common as the one with fewer frequent tokens has of them. Pairs that can't reach the threshold so are never made:
+copies of one text that differ too much from each other leave the group by this.
+
+Signatures are range-partitioned by (signature, rare tokens, set), so a frequent one runs over many
 partitions. A scan of the sorted rows pairs each set with the first set of its
-signature; these pairs are verified on the whole sets (after a look at bitmaps, which excludes most
-of those that aren't linked, and none that is) and give components. Only where a
+signature, the one with the fewest tokens of its own; these pairs are verified on the whole sets (after a
+look at bitmaps, which excludes most of those that aren't linked, and none that is) and give components. Only where a
 signature still holds several components, the pairs across them are verified as well. So
 no link that could join two components is missed, and groups of near copies cost a
 few pairs a set, not all pairs.
 
-Shingles are 64-bit hashes, sets are named by a 64-bit hash checked against a second one.
-Equal sets are one node from the start.
+Which shingles are frequent is told by Bloom filters of bounded size. They may call a rare shingle
+frequent, alike for all sets, which changes the cost and no result; so no number of frequent shingles is too large.
+Shingles are 64-bit hashes, sets are named by 64 bits of a 128-bit hash; where two sets have one name
+the other 64 bits give them new ones. Equal sets are one node from the start.
 
 Cases: null, empty or blank texts have no shingles and are linked with nothing; texts with
 fewer than k words have their whole word sequence as one shingle; repeated rows are copies; a
@@ -37,29 +44,85 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, most_frequent, slices, stored, text_or_empty
+from .common import discard, slices, stored, text_or_empty
 from .components import components
 from .shingles import mixed, shingles
 
 WORDS = 4
 PERCENT = 85
-#: Documents from which a shingle counts as frequent, and the most shingles that are told apart as such (the others keep single signatures; this bounds what is broadcast and changes the cost alone).
+#: Documents from which a shingle counts as frequent and as very frequent, and shingles (a quarter of them) whose counts a task holds on to.
 FREQUENT = 32
+VERY_FREQUENT = 1024
 MOST_FREQUENT = 1 << 18
+#: Bits of the filters of frequent shingles for each of these, and the most bits of a filter.
+BITS_A_SHINGLE = 16
+MOST_BITS = 1 << 28
+#: Bits of a set's name.
+NAME_BITS = 64
 #: Shingles that a task counts at a time.
 CHUNK = 1 << 21
 #: Rows that a task works on at a time.
 ROWS = 500
 #: Bits of the filter of the documents whose sets are wanted.
 FILTER_BITS = 1 << 24
-#: Texts that a task remembers to have seen.
+#: Texts (or sets) that a task remembers to have seen.
 SEEN = 300_000
 
-_ONE, _TWO = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_ONE, _TWO, _THREE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
+
+
+class Bloom:
+    """A filter of 64-bit hashes with three bits each; `bits` is a power of two."""
+
+    SHIFTS = (0, 18, 36)
+
+    def __init__(self, bits: int):
+        self.bits, self.held = bits, np.zeros(bits // 8, np.uint8)
+
+    def add(self, hashes: np.ndarray) -> None:
+        for shift in self.SHIFTS:
+            at = hashes >> np.uint64(shift) & np.uint64(self.bits - 1)
+            np.bitwise_or.at(self.held, at >> np.uint64(3), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
+
+    def __contains__(self, hash_: int) -> bool:
+        return bool(self.has(np.array([hash_], np.uint64))[0])
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for shift in self.SHIFTS:
+            at = hashes >> np.uint64(shift) & np.uint64(self.bits - 1)
+            out &= (self.held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+        return out
+
+
+def bloom_of(hashes: DataFrame, bits: int) -> Bloom:
+    """The filter of a table's first column; at most `bits` bits go to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Bloom(bits)
+        for batch in batches:
+            own.add(batch.column(0).to_numpy().view(np.uint64))
+        step = 1 << 12
+        for i in range(0, len(own.held), step):
+            if (part := own.held[i : i + step]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["at", "part"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(part, np.uint8)
+                held[i] = held[i] | part if i in held else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([p.tobytes() for p in held.values()], pa.binary())], names=["at", "part"])
+
+    out = Bloom(bits)
+    for r in hashes.mapInArrow(run, "at int, part binary").repartition("at").mapInArrow(merge, "at int, part binary").collect():
+        out.held[r["at"] : r["at"] + len(r["part"])] |= np.frombuffer(bytes(r["part"]), np.uint8)
+    return out
 
 
-def frequent_shingles(docs: DataFrame, k: int, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
-    """Sorted hashes of the shingles that most documents hold. Tasks sum what they see more than once, equal texts counted once a task; counts may fall short, which changes the order of tokens and no result."""
+def frequent_shingles(docs: DataFrame, k: int, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> tuple[Bloom, Bloom]:
+    """Filters of the shingles that at least `frequent` and VERY_FREQUENT documents hold. Tasks sum what they see more than once, equal texts counted once a task; counts may fall short, which changes the order of tokens and no result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -71,13 +134,14 @@ def frequent_shingles(docs: DataFrame, k: int, frequent: int = FREQUENT, most: i
             if held:
                 key, n = np.unique(np.concatenate(held), return_counts=True)
                 key, n = key[n > 1], n[n > 1]
+                held = []
                 both, where = np.unique(np.concatenate([keys, key]), return_inverse=True)
                 total = np.bincount(where, np.concatenate([counts, n]), len(both)).astype(np.int64)
                 if len(both) > 4 * most:
                     keep = np.argpartition(total, -4 * most)[-4 * most :]
                     keep.sort()
                     both, total = both[keep], total[keep]
-                keys, counts, held, size = both, total, [], 0
+                keys, counts, size = both, total, 0
 
         for batch in slices(batches, ROWS):
             fresh = []
@@ -93,51 +157,77 @@ def frequent_shingles(docs: DataFrame, k: int, frequent: int = FREQUENT, most: i
                 if size >= CHUNK:
                     add()
         add()
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["token", "n"])
+        for i in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(counts[i : i + (1 << 16)])], names=["token", "n"])
 
     counted = docs.select(text_or_empty().alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = most_frequent(stored(counted.where(F.col("n") >= frequent), "join-frequent"), "n", most).select("token").toArrow()
-    return np.sort(top.column("token").to_numpy().view(np.uint64))
+    often = stored(counted.where(F.col("n") >= frequent), "join-frequent")
+    out = []
+    for least in (frequent, VERY_FREQUENT):
+        own = often.where(F.col("n") >= least).select("token")
+        out.append(bloom_of(own, min(MOST_BITS, max(1 << 16, 1 << (BITS_A_SHINGLE * own.count()).bit_length()))))
+    discard(often)
+    return tuple(out)
 
 
 def level(n: int) -> int:
-    return 0 if n < 16 else n.bit_length() - 4
+    return 0 if n < 3 else 1 if n < 16 else n.bit_length() - 3
+
 
+def _told(tokens: np.ndarray, which: Bloom | np.ndarray | None) -> np.ndarray:
+    if which is None or not len(tokens):
+        return np.zeros(len(tokens), bool)
+    return which.has(tokens) if isinstance(which, Bloom) else np.isin(tokens, which)
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+
+def signatures(tokens: np.ndarray, frequent: Bloom | np.ndarray, percent: int = PERCENT, very: Bloom | np.ndarray | None = None) -> np.ndarray:
     """The signatures of a set of sorted tokens."""
+    return split_signatures(tokens, frequent, percent, very)[0]
+
+
+def split_signatures(tokens: np.ndarray, frequent: Bloom | np.ndarray, percent: int = PERCENT, very: Bloom | np.ndarray | None = None) -> tuple[np.ndarray, int, int]:
+    """The signatures of a set of sorted tokens, how many of them (the first ones) are rare tokens, and how many rare tokens the set has if it has other signatures, else 0."""
     n = len(tokens)
     if not n:
-        return tokens
+        return tokens, 0, 0
     need = n + percent * n // -100 + 1  # one more than the tokens that a partner may lack
-    if len(frequent):
-        at = np.searchsorted(frequent, tokens)
-        often = frequent[np.minimum(at, len(frequent) - 1)] == tokens
-    else:
-        often = np.zeros(n, bool)
+    often = _told(tokens, frequent)
     rare = tokens[~often]
     if len(rare) >= need:
-        return rare[:need]
+        return rare[:need], need, 0
     need -= len(rare)
-    heavy, out = tokens[often], [rare]
+    heavy, out = tokens[often], []
+    top = _told(heavy, very)
+    heavy, top = np.concatenate([heavy[~top], heavy[top]]), np.sort(top)
     for lv in {level(n), level(n * 100 // percent)}:
         if not lv:
             out.append(heavy[:need])
             continue
-        classes = (heavy >> np.uint64(7)) % np.uint64(1 << lv)
+        # classes of pairs, then classes of triples, half as many
+        triple = top if lv > 1 else np.zeros(len(heavy), bool)
+        classes = np.where(triple, (1 << lv) + ((heavy >> np.uint64(7)) % np.uint64(1 << max(0, lv - 2))).astype(np.int64), ((heavy >> np.uint64(7)) % np.uint64(1 << (lv - 1))).astype(np.int64))
         order = np.argsort(classes, kind="stable")
-        first = np.ones(len(heavy), bool)  # the first of its class adds nothing
-        first[order[1:]] = classes[order][1:] != classes[order][:-1]
-        stop = int(np.searchsorted(np.cumsum(~first), need)) + 1
-        kept, own = heavy[:stop], classes[:stop]
+        own = classes[order]
+        start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
+        place = np.empty(len(heavy), np.int64)  # within the class
+        place[order] = np.arange(len(own)) - np.repeat(start, np.diff(np.append(start, len(own))))
+        stop = int(np.searchsorted(np.cumsum(place >= 1 + triple), need)) + 1  # the first tokens of a class add nothing
+        kept, own, three = heavy[:stop], classes[:stop], triple[:stop]
         order = np.argsort(own, kind="stable")
-        kept, own = kept[order], own[order]
+        kept, own, three = kept[order], own[order], three[order]
         for gap in range(1, len(kept)):
             same = own[gap:] == own[:-gap]
             if not same.any():
                 break
-            out.append(mixed(kept[:-gap][same] * _ONE + kept[gap:][same] * _TWO + np.uint64(lv)))
-    return np.unique(np.concatenate(out))
+            two = same & ~three[gap:]
+            out.append(mixed(kept[:-gap][two] * _ONE + kept[gap:][two] * _TWO + np.uint64(lv)))
+            if three.any():
+                for more in range(1, len(kept) - gap):
+                    far = same[:-more] & (own[gap + more :] == own[: -gap - more]) & three[gap + more :]
+                    if not far.any():
+                        break
+                    out.append(mixed(kept[: -gap - more][far] * _ONE + kept[gap:-more][far] * _TWO + kept[gap + more :][far] * _THREE + np.uint64(lv)))
+    return np.concatenate([rare, np.unique(np.concatenate(out))]), len(rare), len(rare)
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -162,142 +252,134 @@ def may_link(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
     return 100 * most >= percent * (na + nb - most)
 
 
-def sets_with_signatures(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, set and check (two hashes of the set), n, its bitmap and its signatures."""
+def set_name(tokens: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """`bits` bits of a set's hash, and 64 others."""
+    d = xxhash.xxh3_128_intdigest(tokens.tobytes())
+    return d & (1 << bits) - 1, d >> 64
+
+
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
+
+
+def sets_with_signatures(docs: DataFrame, k: int, percent: int, frequent: tuple[Bloom, Bloom]) -> DataFrame:
+    """doc_id, set and check (two hashes of the set), n, its bitmap, its signatures, how many of them are rare tokens and how many rare tokens it has."""
     kind = dict(docs.dtypes)["doc_id"]
-    held = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST_FREQUENT numbers at most
+    held = docs.sparkSession.sparkContext.broadcast(frequent)  # 2 * MOST_BITS bits at most
+    name_bits = NAME_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, very = held.value
         for batch in slices(batches, ROWS):
-            names, checks, sizes, bits, parts = [], [], [], [], []
+            names, sizes, bits, parts, first, own = [], [], [], [], [], []
             for tokens in shingles(batch.column(1).to_pylist(), k):
-                d = xxhash.xxh3_128_intdigest(tokens.tobytes())
-                names.append(d & (1 << 64) - 1)
-                checks.append(d >> 64)
+                names.append(set_name(tokens, name_bits))
                 sizes.append(len(tokens))
                 bits.append(bitmap(tokens))
-                parts.append(signatures(tokens, held.value, percent).view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(np.array(checks, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), lists], names=["doc_id", "set", "check", "n", "bits", "signatures"])
+                found, rare, lack = split_signatures(tokens, often, percent, very)
+                parts.append(found.view(np.int64))
+                first.append(rare)
+                own.append(lack)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), _longs([a for a, _ in names]), _longs([b for _, b in names]), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), _lists(parts), pa.array(first, pa.int32()), pa.array(own, pa.int32())],
+                names=["doc_id", "set", "check", "n", "bits", "signatures", "single", "rare"],
+            )
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, set long, check long, n int, bits binary, signatures array<long>")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, set long, check long, n int, bits binary, signatures array<long>, single int, rare int")
 
 
-def scan(postings: DataFrame) -> DataFrame:
-    """Rows (kind, a, b, n) from signatures in order.
+def scan(postings: DataFrame, percent: int) -> DataFrame:
+    """Rows (kind, a, b, n, lack) from signatures in order; lack: tokens of the set that no other set of the signature shares, if the pair isn't met elsewhere.
 
     kind 0: a pair of sets to verify; 1: a posting of a signature with three sets or more (a: signature, b: set, n: its size);
     2: the first and last sets of a partition's edge signatures, to pair up across partitions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(kind, a, b, n):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n)], names=["kind", "a", "b", "n"])
+        def rows(kind, a, b, n, lack):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n), pa.array(lack)], names=["kind", "a", "b", "n", "lack"])
 
-        rest = None  # the last signature so far: its hash, first set, last set and number of rows
+        rest = None  # the last signature so far: its hash, first set with n and lack, last set, and number of rows
         edges = []
         for batch in batches:
-            sig, ids, n = (batch.column(i).to_numpy() for i in range(3))
+            sig, ids, n, lack = (batch.column(i).to_numpy() for i in range(4))
             if not len(sig):
                 continue
             start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             size = np.diff(np.append(start, len(sig)))
             group = np.repeat(np.arange(len(start)), size)
-            center, place, total = ids[start][group], np.arange(len(sig)) - start[group], size[group]
+            center, cn, cl = ids[start], n[start].astype(np.int64), lack[start].astype(np.int64)
+            place, total = np.arange(len(sig)) - start[group], size[group]
             if carried := rest is not None and rest[0] == sig[0]:
-                center[: size[0]] = rest[1]
+                center[0], cn[0], cl[0] = rest[1]
                 place[: size[0]] += rest[3]
                 total[: size[0]] += rest[3]
-            pair = place > 0
-            yield rows(0, center[pair], ids[pair], np.zeros(pair.sum(), np.int32))
+            most = np.minimum((cn - cl)[group], n - lack)  # tokens in common
+            pair = (place > 0) & (100 * most >= percent * (cn[group] + n - most))
+            none = np.zeros(pair.sum(), np.int32)
+            yield rows(0, center[group][pair], ids[pair], none, none)
             many = total > 2
             many[start[-1] :] = True  # it may go on
             if rest is None:
                 many[: size[0]] = True  # it may have begun in another partition
                 edges.append((int(sig[0]), int(ids[0])))
-            yield rows(1, sig[many], ids[many], n[many])
+            yield rows(1, sig[many], ids[many], n[many], lack[many])
             going = carried and len(start) == 1
-            rest = (int(sig[-1]), int(center[-1]), int(ids[-1]), int(size[-1]) + (rest[3] if going else 0))
+            rest = (int(sig[-1]), (int(center[-1]), int(cn[-1]), int(cl[-1])), int(ids[-1]), int(size[-1]) + (rest[3] if going else 0))
         if rest is not None:
-            edges.append((rest[0], rest[1]))
+            edges.append((rest[0], rest[1][0]))
             edges.append((rest[0], rest[2]))
             a, b = np.array(edges, np.int64).T
-            yield rows(2, a, b, np.zeros(len(a), np.int32))
-
-    ordered = postings.repartitionByRange("signature", "set").sortWithinPartitions("signature", "set")
-    return ordered.select("signature", "set", "n").mapInArrow(run, "kind int, a long, b long, n int")
-
-
-def _filter_of(wanted: DataFrame) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS bits of the doc_ids in wanted; if it is too full, more documents pass and none is missed."""
-    bits = F.explode(F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(FILTER_BITS)).cast("int") for i in range(3)])).alias("bit")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(FILTER_BITS // 8, np.uint8)
-        for batch in batches:
-            bit = batch.column(0).to_numpy()
-            np.bitwise_or.at(held, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
-        for i in range(0, len(held), 1 << 12):
-            if (part := held[i : i + (1 << 12)]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["at", "part"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(part, np.uint8)
-                held[i] = held[i] | part if i in held else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([p.tobytes() for p in held.values()], pa.binary())], names=["at", "part"])
+            none = np.zeros(len(a), np.int32)
+            yield rows(2, a, b, none, none)
 
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    parts = wanted.select(bits).mapInArrow(run, "at int, part binary").repartition("at").mapInArrow(merge, "at int, part binary")
-    for r in parts.collect():  # FILTER_BITS / 8 bytes
-        out[r["at"] : r["at"] + len(r["part"])] |= np.frombuffer(bytes(r["part"]), np.uint8)
-    return out
+    ordered = postings.repartitionByRange("signature", "lack", "set").sortWithinPartitions("signature", "lack", "set")
+    return ordered.select("signature", "set", "n", "lack").mapInArrow(run, "kind int, a long, b long, n int, lack int")
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(set, tokens) of the wanted sets, made again from the texts of the documents that stand for them. A few others may be among them, and a set may come once from each of several tasks where rows repeat."""
-    named = stored(wanted.select("set").distinct().join(nodes.select("set", "doc_id"), "set"), "join-wanted")
-    held = docs.sparkSession.sparkContext.broadcast(_filter_of(named))
-    spark_bits = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(FILTER_BITS)).cast("int").alias(f"bit{i}") for i in range(3)]
+def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int, renamed: dict[tuple[int, int], int]) -> DataFrame:
+    """(set, tokens) of the wanted sets, made again from the texts of the documents that stand for them. A few others may be among them, and a set may come once from each of several tasks where rows repeat. renamed: names of the sets whose own name is another's as well."""
+    ids = [F.xxhash64("doc_id").alias("id")]
+    named = stored(wanted.select("set").distinct().join(nodes.select("set", "doc_id"), "set").select(*ids), "join-wanted")
+    held = docs.sparkSession.sparkContext.broadcast(bloom_of(named, FILTER_BITS))  # if it is too full, more documents pass and none is missed
+    discard(named)
+    name_bits = NAME_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = held.value, set()
+        filter_, seen = held.value, set()
         for batch in slices(batches, ROWS):
-            hit = np.ones(len(batch), bool)
-            for i in (1, 2, 3):
-                bit = batch.column(i).to_numpy()
-                hit &= (bits[bit >> 3] >> (bit & 7)) & 1 == 1
+            hit = pa.array(filter_.has(batch.column(1).to_numpy().view(np.uint64)))
             names, parts = [], []
-            for tokens in shingles(batch.column(0).filter(pa.array(hit)).to_pylist(), k):
-                name = xxhash.xxh3_128_intdigest(tokens.tobytes()) & (1 << 64) - 1
-                if name not in seen:
-                    seen.add(name)
-                    names.append(name)
+            for tokens in shingles(batch.column(0).filter(hit).to_pylist(), k):
+                both = set_name(tokens, name_bits)
+                if both not in seen:
+                    if len(seen) < SEEN:
+                        seen.add(both)
+                    names.append(renamed.get(both, both[0]))
                     parts.append(tokens.view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64)), lists], names=["set", "tokens"])
+            yield pa.RecordBatch.from_arrays([_longs(names), _lists(parts)], names=["set", "tokens"])
 
-    made = docs.select(text_or_empty().alias("text"), *spark_bits).mapInArrow(run, "set long, tokens array<long>")
-    return made
+    return docs.select(text_or_empty().alias("text"), *ids).mapInArrow(run, "set long, tokens array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, renamed: dict[tuple[int, int], int]) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     own = nodes.select("set", "n", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2000):
             na, ba, nb, bb = (batch.column(c).to_pylist() for c in ("na", "ba", "nb", "bb"))
             keep = pa.array([may_link(*x, percent) for x in zip(ba, bb, na, nb, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     tried = pairs.join(own.toDF("a", "na", "ba"), "a").join(own.toDF("b", "nb", "bb"), "b").where(100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long"))
     fits = stored(tried.mapInArrow(run, "a long, b long"), "join-pairs")
-    sets = stored(whole_sets(docs, nodes, fits.select(F.explode(F.array("a", "b")).alias("set")), k), "join-sets")
+    sets = stored(whole_sets(docs, nodes, fits.select(F.explode(F.array("a", "b")).alias("set")), k, renamed), "join-sets")
     both = fits.join(sets.toDF("b", "tb"), "b").join(sets.toDF("a", "ta"), "a")
     shared = F.size(F.array_intersect("ta", "tb"))
     links = stored(both.where(100 * shared.cast("long") >= percent * (F.size("ta") + F.size("tb") - shared).cast("long")).select("a", "b"), "join-links")
@@ -305,18 +387,36 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percen
     return links
 
 
+def _renamed(named: DataFrame) -> dict[tuple[int, int], int]:
+    """New names of the sets (set, check) that share a name with another: about the square of the number of sets over 2^65 of them."""
+    twice = named.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.collect_list("check").alias("checks")).where("n > 1")
+    out = {}
+    for r in twice.collect():
+        for check in r["checks"]:
+            both = r["set"] & (1 << 64) - 1, check & (1 << 64) - 1
+            out[both] = xxhash.xxh3_64_intdigest(b"%d %d" % both)
+    return out
+
+
 def near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document."""
+    """doc_id, n_shingles and component_id of each document; percent: 50 at least."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be between 50 and 100")
     spark = docs.sparkSession
     found = frequent_shingles(docs, k)
     sets = stored(sets_with_signatures(docs, k, percent, found), "join-signatures")
-    clash = F.raise_error(F.lit("two sets have the same name"))
-    full = sets.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("signatures").alias("signatures"), F.min("check").alias("c1"), F.max("check").alias("c2"))
-    full = stored(full.select("set", "doc_id", "n", "bits", F.when(F.col("c1") == F.col("c2"), F.col("signatures")).otherwise(clash.cast("array<long>")).alias("signatures")), "join-full")
-    members = stored(sets.select("doc_id", "set", "n"), "join-members")
+    full = sets.where("n > 0").groupBy("set", "check").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("signatures").alias("signatures"), F.first("single").alias("single"), F.first("rare").alias("rare"))
+    full = stored(full, "join-full")
+    members = stored(sets.select("doc_id", "set", "check", "n"), "join-members")
     discard(sets)
-    nodes = stored(full.select("set", "doc_id", "n", "bits"), "join-nodes")
-    scanned = stored(scan(full.select("set", "n", F.explode("signatures").alias("signature"))), "join-scan")
+    renamed = _renamed(full.select("set", "check"))
+    full_, members_ = full, members
+    if renamed:
+        new = F.broadcast(spark.createDataFrame([(*(x - (1 << 64) if x >> 63 else x for x in both), name - (1 << 64) if name >> 63 else name) for both, name in renamed.items()], "set long, check long, name long"))
+        full_, members_ = (t.join(new, ["set", "check"], "left").withColumn("set", F.coalesce("name", "set")).drop("name") for t in (full, members))
+    nodes = stored(full_.select("set", "doc_id", "n", "bits"), "join-nodes")
+    postings = full_.select("set", "n", "single", "rare", F.posexplode("signatures").alias("at", "signature"))
+    scanned = stored(scan(postings.select("signature", "set", "n", F.when(F.col("at") < F.col("single"), 0).otherwise(F.col("rare")).alias("lack")), percent), "join-scan")
     discard(full)
 
     # two or three rows of each partition: sets of one signature that continues in another partition
@@ -328,32 +428,43 @@ def near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     if across:
         pairs = pairs.union(spark.createDataFrame(across, "a long, b long"))
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "join-tried")
-    links = verified(pairs, docs, nodes, k, percent)
+    links = verified(pairs, docs, nodes, k, percent, renamed)
     joined = components(links)
 
-    # signatures that still hold several components: the pairs across them
-    postings = scanned.where("kind = 1").select(F.col("a").alias("signature"), F.col("b").alias("set"), "n").join(joined.withColumnRenamed("id", "set"), "set", "left")
-    postings = stored(postings.select("signature", "set", "n", F.coalesce("component", "set").alias("component")), "join-postings")
+    # signatures that still hold several components: the pairs across them that can reach the threshold
+    postings = scanned.where("kind = 1").select(F.col("a").alias("signature"), F.col("b").alias("set"), "n", "lack").join(joined.withColumnRenamed("id", "set"), "set", "left")
+    postings = stored(postings.select("signature", "set", "n", (F.col("n") - F.col("lack")).alias("most"), F.coalesce("component", "set").alias("component")), "join-postings")
     discard(scanned)
     mixed = postings.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
     left = postings.join(mixed, "signature")
-    a, b = left.toDF("signature", "a", "na", "ca"), left.toDF("signature", "b", "nb", "cb")
-    more = a.join(b, "signature").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long")))
+    a, b = left.toDF("signature", "a", "na", "ma", "ca"), left.toDF("signature", "b", "nb", "mb", "cb")
+    most = F.least("ma", "mb").cast("long")
+    more = a.join(b, "signature").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most)))
     more = stored(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "join-more")
+    discard(postings)
     if more.limit(1).count():
-        joined = components(links.union(verified(more, docs, nodes, k, percent)))
+        joined = components(links.union(verified(more, docs, nodes, k, percent, renamed)))
 
     owner = nodes.select("set", "doc_id").join(joined.withColumnRenamed("id", "set"), "set", "left").select("set", "doc_id", F.coalesce("component", "set").alias("component"))
     smallest = owner.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     final = stored(owner.join(smallest, "component").select("set", "component_id"), "join-components")
-    out = members.join(final, "set", "left")
+    out = members_.join(final, "set", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, that with the smallest doc_id, in all its rows; rows without a doc_id stay, and so do documents without words. A row is told from others of its doc_id by its text."""
+    """docs with one row of each component: that with the smallest doc_id (null last), then the smallest hash of the text, and one of those that repeat in both. Documents without words stay."""
     name = F.xxhash64(text_or_empty())
-    keyed = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", name.alias("name"))).alias("doc_id"), "text")
-    groups = near_copies(keyed, k, percent)
-    dropped = stored(groups.where("doc_id.doc_id <> component_id.doc_id").select(F.col("doc_id.doc_id").alias("dropped_id"), F.col("doc_id.name").alias("dropped_name")).distinct(), "join-dropped")
-    return docs.join(dropped, (docs["doc_id"] == F.col("dropped_id")) & (name == F.col("dropped_name")), "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    key = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", name.alias("name"))
+    groups = near_copies(docs.select(key.alias("doc_id"), "text"), k, percent)
+    chosen = groups.where("n_shingles > 0").groupBy("doc_id").agg(F.first("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    chosen = stored(chosen.select(F.col("doc_id.doc_id").alias("id__"), F.col("doc_id.name").alias("name__"), (F.col("doc_id") == F.col("component_id")).alias("stays__"), "n"), "join-chosen")
+    same = docs["doc_id"].eqNullSafe(F.col("id__")) & (name == F.col("name__"))
+    own = [docs[f"`{c}`"] for c in docs.columns]
+    out = docs.join(chosen.where("not stays__"), same, "left_anti").select(*own)
+    repeated = chosen.where("stays__ and n > 1")
+    if not repeated.limit(1).count():
+        return out
+    record = F.struct(*own).alias("record__")
+    once = docs.join(repeated.select("id__", "name__"), same).select("id__", "name__", record).groupBy("id__", "name__").agg(F.first("record__").alias("record__"))
+    return out.join(repeated, same, "left_anti").select(*own).union(once.select("record__.*"))

@@ -135,9 +135,23 @@ def test_without_near_copies(spark):
     docs = documents(spark)
     got = ngram_join.without_near_copies(docs)
     assert got.columns == docs.columns
-    groups = ngram_join.near_copies(docs).collect()
-    want = Counter(r["doc_id"] for r in groups if r["doc_id"] is None or r["doc_id"] == r["component_id"])
-    assert Counter(r["doc_id"] for r in got.collect()) == want
+    rows = [(i, r["doc_id"], r["text"]) for i, r in enumerate(docs.collect())]
+    groups = ngram_join.near_copies(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string"), k=5, percent=80)
+    component = {r["doc_id"]: r["component_id"] for r in groups.collect()}
+    got = Counter((r["doc_id"], r["text"]) for r in ngram_join.without_near_copies(docs, k=5, percent=80).collect())
+    kept = Counter()
+    for i, d, t in rows:
+        own = [(d_ is None, d_) for j, d_, _ in rows if component[j] == component[i]]
+        if not (t or "").split() or (d is None, d) == min(own, key=lambda x: (x[0], x[1] or 0)):
+            kept[d, t] = kept[d, t] + 1 if not (t or "").split() else 1
+    assert got == kept
+
+
+def test_without_near_copies_of_repeated_rows(spark):
+    base = prose(random.Random(13), 200)
+    rows = [(1, base), (1, base), (None, base + " more"), (2, base), (None, "a b"), (None, "a b"), (5, ""), (5, "")]
+    got = ngram_join.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(1, base), (None, "a b"), (5, ""), (5, "")])
 
 
 def test_without_near_copies_of_shared_ids(spark):
