@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that the contracts split words at.
@@ -22,8 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (a local session)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="grovetag-")
-        spark.conf.set("spark.checkpoint.dir", base) if spark.sparkContext.master.startswith("local") else None
+        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
@@ -36,15 +41,33 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+_cleaning = threading.Lock()
+_writers: dict[str, list] = {}
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """CLEANUP holds within; the session gets its own value back when the last of several threads is done."""
+    session = spark._jsparkSession.sessionUUID()
+    with _cleaning:
+        own = _writers.setdefault(session, [0, spark.conf.get(CLEANUP, "false")])
+        own[0] += 1
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _cleaning:
+            own[0] -= 1
+            if not own[0]:
+                spark.conf.set(CLEANUP, own[1])
+                del _writers[session]
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written as a table in the shared folder and read again: later steps start from the files, also after the loss of executors."""
-    path, conf = scratch_path(df.sparkSession, label), df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")  # the shuffles behind the table go as soon as it is written
-    try:
+    path = scratch_path(df.sparkSession, label)
+    with cleaned(df.sparkSession):  # the shuffles behind the table go as soon as it is written
         df.write.parquet(path)
-    finally:
-        conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
@@ -78,6 +101,16 @@ def most_frequent(rows: DataFrame, column: str, most: int) -> DataFrame:
     return rows.where(step >= cut) if cut is not None else rows.limit(0)
 
 
+def running(sums: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, before): the sum of value over all smaller keys, of a table with one row for each key (a long, at least 0). Keys are summed in blocks of 4096, and the blocks' sums, in one task, are as few."""
+    block = F.floor(F.col(key) / 4096).alias("block__")
+    rows = sums.select(key, value, block)
+    earlier = Window.orderBy("block__").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("block__").agg(F.sum(value).alias("n__")).select("block__", F.coalesce(F.sum("n__").over(earlier), F.lit(0)).alias("base__"))
+    within = Window.partitionBy("block__").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("n__", F.coalesce(F.sum(value).over(within), F.lit(0))).join(blocks, "block__").select(key, (F.col("n__") + F.col("base__")).alias("before"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,16 +1,22 @@
 """Mixture-controlled packing of token streams into fixed windows.
 
-Each source is a queue of its documents' ids. Deficit round-robin serves, token by
-token, the source that is furthest behind its share: token i of a source with T tokens
-is due at (2 i + 1) / T, and the due times of all sources, merged, are the packed
-stream; window w holds tokens [w * size, (w + 1) * size) of it. So each window has
-every source within a token or so of its proportion, a deficit is carried from
-window to window, and as the state at a window's start is a function of the totals
-alone, any partition can go on from any window without asking the others.
+Each source is a queue of its documents' ids, in segments of at most `segment` tokens (a document that is no longer
+is one segment). Deficit round-robin serves the queues: in each round a source's
+deficit grows by its quantum, its share of a window by the target weights, and the source sends
+segments from the head of its queue while the deficit covers them; what is left is carried
+to the next round, over windows and partitions alike. The stream of segments is cut into windows, all full but the last.
+
+As a queue that holds segments is served in each round, the round of a segment follows from its place in the queue alone: the first round whose
+quanta, together with the deficit at the start, reach the segment's end. So no task waits for
+another: rounds are dealt to buckets, a bucket's segments are sorted by round and source, and
+its place in the stream is the sum of the buckets before it. A source starts with a
+deficit given by its hash, below its first segment's size, so that many sources of one document each
+are spread over the rounds. After any round a source is within one segment of its quanta; when its queue is empty,
+the others go on by their weights.
 
 Cases: a null text is the empty text (only the end id); a null source is a source; repeated
-rows are separate documents; very long documents run over many windows; an
-empty table gives no rows; other columns are ignored.
+rows are separate documents; very long documents run over many windows; sources that the weights don't
+name weigh 1; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +32,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import running, slices, stored, text_or_empty
 
 WINDOW = 1024
 END_ID = 0
-#: Chunks that a worker remembers the ids of.
-MEMO = 300_000
-#: Windows whose state is worked out at a time.
-STEP = 8192
+SPECIAL = "<|endoftext|>"
+#: Chunks that a worker remembers the ids of, texts that it works on at a time, pieces whose digests it works out at a time.
+MEMO = 200_000
+ROWS, PIECES = 500, 2000
+#: Tokens of a bucket of rounds.
+BUCKET_TOKENS = 4 << 20
 
 
 class Encoder:
@@ -55,7 +63,9 @@ class Encoder:
 
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self._encode = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        # the one special token of the vocabulary follows its ranks; as in the tokenizers library its string in a text is that token
+        encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
+        self._encode, self._encode_all = encoding.encode_ordinary, encoding.encode
         encode = self.whole
 
         class Memo(dict):
@@ -71,6 +81,8 @@ class Encoder:
         return array("H", self._encode(text)).tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if SPECIAL in text:
+            return array("H", self._encode_all(text, allowed_special={SPECIAL})).tobytes()
         if self._odd.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
@@ -93,117 +105,79 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, source, block, start (within the block's part of the source's queue), n and ids, the end id included."""
+def tokenised(docs: DataFrame, vocabulary: str, segment: int = WINDOW) -> DataFrame:
+    """Segments: doc_id, source, block, start (within the block's part of the source's queue), at (within the document), n, doc_tokens and ids, the end id included."""
     kind = dict(docs.dtypes)
-    schema = f"doc_id {kind['doc_id']}, source {kind['source']}, block int, start long, n int, ids binary"
+    schema = f"doc_id {kind['doc_id']}, source {kind['source']}, block int, start long, at long, n int, doc_tokens long, ids binary"
     end = END_ID.to_bytes(2, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, block, at = encoder(vocabulary), TaskContext.get().partitionId(), {}
-        for batch in batches:
-            ids = [encode(t) + end for t in batch.column(2).to_pylist()]
-            starts, counts = [], [len(i) // 2 for i in ids]
-            for source, n in zip(batch.column(1).to_pylist(), counts, strict=True):
-                starts.append(at.get(source, 0))
-                at[source] = starts[-1] + n
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([block] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "source", "block", "start", "n", "ids"])
+        encode, block, queued = encoder(vocabulary), TaskContext.get().partitionId(), {}
+        for batch in slices(batches, ROWS):
+            row, starts, ats, sizes, totals, parts = [], [], [], [], [], []
+            for i, (source, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                ids = encode(text) + end
+                n, before = len(ids) // 2, queued.get(source, 0)
+                queued[source] = before + n
+                for at in range(0, n, segment):
+                    row.append(i)
+                    starts.append(before + at)
+                    ats.append(at)
+                    sizes.append(min(segment, n - at))
+                    totals.append(n)
+                    parts.append(ids[2 * at : 2 * (at + segment)])
+            taken = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(taken), batch.column(1).take(taken), pa.array([block] * len(row), pa.int32()), pa.array(starts, pa.int64()), pa.array(ats, pa.int64()), pa.array(sizes, pa.int32()), pa.array(totals, pa.int64()), pa.array(parts, pa.binary())],
+                names=["doc_id", "source", "block", "start", "at", "n", "doc_tokens", "ids"],
+            )
 
     return docs.select("doc_id", "source", text_or_empty().alias("text")).mapInArrow(run, schema)
 
 
-def served(upto: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """For each number of tokens in `upto`, how many of them come from each source (rows: upto, columns: sources).
-
-    They are the first in the order (due time, source); due times are float64 quotients,
-    computed alike everywhere, so each partition sees the same order.
-    """
-    upto, totals = np.asarray(upto, np.int64), np.asarray(totals, np.int64)
-    size = totals.astype(np.float64)
-    taken = np.floor(upto[:, None] / size.sum() * size + 0.5).astype(np.int64)
-    np.clip(taken, 0, totals, out=taken)
-    rows, last = np.arange(len(upto)), len(totals) - 1
-
-    def latest(part):  # the last taken: largest due time, then the largest source
-        due = np.where(part > 0, (2 * part - 1) / size, -np.inf)
-        s = last - np.argmax(due[:, ::-1], axis=1)
-        return s, due[np.arange(len(part)), s]
-
-    def coming(part):
-        due = np.where(part < totals, (2 * part + 1) / size, np.inf)
-        s = np.argmin(due, axis=1)
-        return s, due[np.arange(len(part)), s]
-
-    while len(over := rows[taken.sum(1) > upto]):
-        taken[over, latest(taken[over])[0]] -= 1
-    while len(under := rows[taken.sum(1) < upto]):
-        taken[under, coming(taken[under])[0]] += 1
-    open_ = rows
-    while len(open_):  # rounding may have swapped two tokens
-        (a, late), (b, soon) = latest(taken[open_]), coming(taken[open_])
-        wrong = (late > soon) | ((late == soon) & (a > b))
-        open_ = open_[wrong]
-        taken[open_, a[wrong]] -= 1
-        taken[open_, b[wrong]] += 1
-    return taken
-
-
-def cuts(start: int, stop: int, source: int, totals: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The windows that hold tokens [start, stop) of a source's queue, in steps: window, first token, token after the last, offset of the first token in the window."""
-    total = int(totals.sum())
-    each, slack = total / int(totals[source]) / window, 2 + len(totals) // window
-    low, high = max(0, int(start * each) - slack), min(-(-total // window), int(stop * each) + slack + 1)
-    for w in range(low, high, STEP):
-        k = np.arange(w, min(w + STEP, high) + 1)
-        state = served(np.minimum(k * window, total), totals)
-        own, before = state[:, source], state[:, :source].sum(1)
-        keep = own[1:] > own[:-1]
-        yield k[:-1][keep], own[:-1][keep], own[1:][keep], (before[1:] - before[:-1])[keep]
-
-
-def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, source, start, length, ids (uint16), doc_tokens, sequence_id, offset."""
-    spark = docs.sparkSession
-    tokens = stored(tokenised(docs, vocabulary or default_vocabulary()), "pack-tokens")
-    kind = dict(tokens.dtypes)
+def quanta(sizes: DataFrame, tokens: int, window: int = WINDOW, segment: int = WINDOW, weights: dict[str, float] | None = None) -> DataFrame:
+    """(source, quantum, phase) from (source, total): what a source's deficit grows by in a round, and what it starts with. Without weights the target is each source's share of all tokens, so that the queues end together."""
+    if weights is None:
+        share = F.col("total") / F.lit(float(max(1, tokens)))
+    else:
+        if not all(w > 0 for w in weights.values()):
+            raise ValueError("weights must be positive")
+        given = F.create_map(*[x for s, w in weights.items() for x in (F.lit(s), F.lit(float(w)))]) if weights else None
+        weight = F.coalesce(given[F.col("source")], F.lit(1.0)) if weights else F.lit(1.0)
+        sizes = sizes.withColumn("weight", weight)
+        share = F.col("weight") / F.lit(float(sizes.agg(F.sum("weight")).first()[0] or 1))
+    return sizes.select("source", (share * window).alias("quantum"), F.pmod(F.xxhash64("source"), F.least("total", F.lit(segment))).alias("phase"))
+
+
+def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, weights: dict[str, float] | None = None, segment: int | None = None) -> DataFrame:
+    """One row per piece: doc_id, source, start, length, ids (uint16), doc_tokens, sequence_id, offset. weights: target proportions by source, those of the documents by default."""
+    segment = segment or window
+    tokens = stored(tokenised(docs, vocabulary or default_vocabulary(), segment), "pack-tokens")
     blocks = tokens.groupBy("source", "block").agg(F.sum("n").alias("tokens"))
-    totals = {r["source"]: r["tokens"] for r in blocks.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
-    schema = f"doc_id {kind['doc_id']}, source {kind['source']}, start long, length int, ids binary, doc_tokens long, sequence_id long, offset int"
-    if not totals:
-        return spark.createDataFrame([], schema)
-    order = sorted(totals, key=lambda s: (s is None, s if s is not None else ""))
-    place, sizes = {s: i for i, s in enumerate(order)}, np.array([totals[s] for s in order], np.int64)
+    blocks = stored(blocks, "pack-blocks")
+    total = blocks.agg(F.sum("tokens").alias("n")).first()["n"] or 0
+    sizes = blocks.groupBy("source").agg(F.sum("tokens").alias("total"))
+    own = quanta(sizes, total, window, segment, weights).withColumnRenamed("source", "source_")
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = stored(blocks.select(F.col("source").alias("source_"), F.col("block").alias("block_"), F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base")), "pack-bases")
-    queued = tokens.join(bases, (tokens["block"] == bases["block_"]) & tokens["source"].eqNullSafe(bases["source_"])).select("doc_id", "source", (F.col("start") + F.col("base")).alias("start"), "n", "ids")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sources, ids = batch.column(1).to_pylist(), batch.column(4).to_pylist()
-            starts, counts = batch.column(2).to_numpy(), batch.column(3).to_numpy().astype(np.int64)
-            own = np.array([place[s] for s in sources], np.int64)
-            for s in np.unique(own):
-                rows = np.flatnonzero(own == s)
-                rows = rows[np.argsort(starts[rows], kind="stable")]
-                a, b = starts[rows], starts[rows] + counts[rows]
-                # runs of documents that follow one another in the queue
-                for run_ in np.split(np.arange(len(rows)), np.flatnonzero(a[1:] > b[:-1] + window * len(sizes)) + 1):
-                    for w, first, after, offset in cuts(int(a[run_[0]]), int(b[run_[-1]]), int(s), sizes, window):
-                        i = run_[(b[run_] > first[0]) & (a[run_] < after[-1])] if len(w) else run_[:0]
-                        if not len(i):
-                            continue
-                        lo, hi = np.searchsorted(after, a[i], "right"), np.searchsorted(first, b[i], "left")
-                        n = hi - lo
-                        doc = np.repeat(i, n)
-                        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                        p, q = np.maximum(first[at], a[doc]), np.minimum(after[at], b[doc])
-                        begin, length = p - a[doc], q - p
-                        row = rows[doc]
-                        part = [ids[r][2 * x : 2 * y] for r, x, y in zip(row.tolist(), begin.tolist(), (begin + length).tolist(), strict=True)]
-                        taken = pa.array(row)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(begin), pa.array(length.astype(np.int32)), pa.array(part, pa.binary()), pa.array(counts[row]), pa.array(w[at]), pa.array((offset[at] + p - first[at]).astype(np.int32))], names=["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-    return queued.mapInArrow(run, schema)
+    bases = blocks.select("source", F.col("block").alias("block_"), F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"))
+    bases = stored(bases.join(own, bases["source"].eqNullSafe(own["source_"])).drop("source"), "pack-bases")
+    end = F.col("start") + F.col("base") + F.col("n")
+    turn = F.greatest(F.lit(1), F.ceil((end - F.col("phase")) / F.col("quantum") - 1e-9)).cast("long")
+    queued = tokens.join(bases, (tokens["block"] == bases["block_"]) & tokens["source"].eqNullSafe(bases["source_"]))
+    # buckets of rounds: a window of tokens is dealt in a round, as long as no queue is empty
+    width = max(1, BUCKET_TOKENS // window)
+    queued = queued.select("doc_id", "source", "at", "n", "doc_tokens", "ids", end.alias("end"), turn.alias("turn"), F.floor(turn / width).cast("long").alias("bucket"))
+    offsets = running(stored(queued.groupBy("bucket").agg(F.sum("n").alias("tokens")), "pack-buckets"), "bucket", "tokens").withColumnRenamed("bucket", "bucket_")
+    sent = Window.partitionBy("bucket").orderBy("turn", F.col("source").asc_nulls_last(), "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = queued.withColumn("upto", F.sum("n").over(sent)).join(offsets, F.col("bucket") == F.col("bucket_"))
+    first = F.col("before") + F.col("upto") - F.col("n")
+    pieces = placed.select("doc_id", "source", "at", "n", "doc_tokens", "ids", first.alias("first")).withColumn("sequence_id", F.explode(F.sequence(F.floor(F.col("first") / window), F.floor((F.col("first") + F.col("n") - 1) / window))))
+    low, high = F.greatest("first", F.col("sequence_id") * window), F.least(F.col("first") + F.col("n"), (F.col("sequence_id") + 1) * window)
+    pieces = pieces.withColumn("low", low).withColumn("length", (high - low).cast("int"))
+    return pieces.select(
+        "doc_id", "source", (F.col("at") + F.col("low") - F.col("first")).alias("start"), "length", F.expr("substring(ids, cast(2 * (low - first) as int) + 1, 2 * length)").alias("ids"), "doc_tokens",
+        "sequence_id", (F.col("low") - F.col("sequence_id") * window).cast("int").alias("offset"),
+    )
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
@@ -218,11 +192,12 @@ def digest(pieces: DataFrame) -> DataFrame:
     kind = dict(pieces.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, PIECES):
             ids = batch.column("ids")
             ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, ids.offset * 4).astype(np.int64) * 2
-            wide = np.frombuffer(ids.buffers()[2] or b"", np.uint16, ends[-1] // 4).astype("<u4").tobytes()
-            crc = [zlib.crc32(wide[x:y]) for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+            base = int(ends[0])
+            wide = memoryview(np.frombuffer(ids.buffers()[2] or b"", np.uint16, int(ends[-1] - base) // 4, base // 2).astype("<u4")).cast("B")
+            crc = [zlib.crc32(wide[x - base : y - base]) for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("length").cast(pa.int64()), pa.array(crc, pa.int64()), batch.column("doc_tokens"), batch.column("sequence_id"), batch.column("offset").cast(pa.int64())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return pieces.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset").mapInArrow(run, f"doc_id {kind['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -22,9 +22,7 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def ids_of(tokenizer, text):
@@ -38,14 +36,49 @@ def test_encoder_is_the_tokenizer(tokenizer, text):
     assert got == ids_of(tokenizer, text)[:-1]
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 400), min_size=1, max_size=7), st.integers(1, 50))
-def test_served_is_the_merged_order(totals, window):
-    due = sorted(((2 * i + 1) / float(t), s) for s, t in enumerate(totals) for i in range(t))
-    upto = np.minimum(np.arange(0, sum(totals) + window, window), sum(totals))
-    got = packing.served(upto, np.array(totals))
-    for n, row in zip(upto, got, strict=True):
-        assert row.tolist() == [sum(s == k for _, s in due[:n]) for k in range(len(totals))]
+def round_robin(queues, quantum, deficit):
+    """Deficit round-robin, step by step: the segments in the order in which they are sent."""
+    queues, deficit, out = {s: list(q) for s, q in queues.items()}, dict(deficit), []
+    order = sorted(queues, key=lambda s: (s is None, s or ""))
+    while any(queues.values()):
+        for s in order:
+            if queues[s]:
+                deficit[s] += quantum[s]
+                while queues[s] and queues[s][0][1] <= deficit[s] + 1e-6:
+                    out.append(queues[s].pop(0))
+                    deficit[s] -= out[-1][1]
+    return out
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 5.0, "é": 0.5}])
+def test_pack_is_deficit_round_robin(spark, tokenizer, monkeypatch, weights):
+    monkeypatch.setattr(packing, "BUCKET_TOKENS", 4000)
+    docs = spark.createDataFrame([(i, r["source"], r["text"]) for i, r in enumerate(documents(spark).collect())], "doc_id long, source string, text string").coalesce(1)
+    queues, total = defaultdict(list), Counter()
+    for r in docs.collect():
+        n = len(ids_of(tokenizer, r["text"]))
+        queues[r["source"]] += [((r["doc_id"], at), min(300, n - at)) for at in range(0, n, 300)]
+        total[r["source"]] += n
+    own = packing.quanta(spark.createDataFrame(list(total.items()), "source string, total long"), sum(total.values()), 256, 300, weights).collect()
+    wanted = {s: (weights or {}).get(s, 1.0) if weights else n for s, n in total.items()}
+    for r in own:
+        assert r["quantum"] == pytest.approx(256 * wanted[r["source"]] / sum(wanted.values())) and 0 <= r["phase"] < min(300, total[r["source"]])
+    want, at = [], 0
+    for (doc, start), n in round_robin(queues, {r["source"]: r["quantum"] for r in own}, {r["source"]: r["phase"] for r in own}):
+        while n:
+            part = min(n, 256 - at % 256)
+            want.append((at // 256, at % 256, doc, start, part))
+            at, start, n = at + part, start + part, n - part
+    got = sorted((r["sequence_id"], r["offset"], r["doc_id"], r["start"], r["length"]) for r in packing.pack(docs, window=256, segment=300, weights=weights).collect())
+    assert got == want
+
+
+def test_pack_many_sources(spark, tokenizer):
+    rows = [(i, f"s{i % 2000}", "some words of a short document " * 8) for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    pieces = packing.pack(docs).collect()
+    assert len(pieces) <= 2500 + sum(r["length"] for r in pieces) // 1024 + 1
+    assert sum(r["length"] for r in pieces) == sum(len(ids_of(tokenizer, t)) for _, _, t in rows)
 
 
 def test_pack(spark, tokenizer):
@@ -72,16 +105,8 @@ def test_pack(spark, tokenizer):
     for k, parts in windows.items():
         assert [o for o, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)])[:-1].tolist()]
         assert sum(n for _, n in parts) == min(1024, total - 1024 * k)
-    # every window has its sources in proportion
-    sources = Counter()
-    for r in pieces.collect():
-        sources[r["source"], r["sequence_id"]] += r["length"]
-    share = Counter()
-    for (s, _), n in sources.items():
-        share[s] += n / total
-    for (s, k), n in sources.items():
-        if 1024 * (k + 1) <= total:
-            assert abs(n - 1024 * share[s]) <= len(share)
+    # a document lies in few pieces
+    assert all(n <= 2 * (-(-max(r["doc_tokens"] for r in got if r["doc_id"] == d) // 1024)) * len(by[d]) for d, n in Counter(r["doc_id"] for r in got).items())
 
 
 def test_sequences(spark):
@@ -274,6 +299,25 @@ def test_near_copies(spark, monkeypatch, frequent):
     assert got == brute(docs.collect())
 
 
+@pytest.mark.parametrize(("name_bits", "percent"), [(64, 85), (3, 85), (64, 60)])
+def test_near_copies_of_very_frequent_shingles(spark, monkeypatch, name_bits, percent):
+    import random
+
+    monkeypatch.setattr(ngram_join, "VERY_FREQUENT", 4)
+    monkeypatch.setattr(ngram_join, "NAME_BITS", name_bits)
+    monkeypatch.setattr(ngram_join.frequent_shingles, "__defaults__", (2, ngram_join.MOST_FREQUENT))
+    rng = random.Random(9)
+    words, extra = [prose(rng, 1) + str(i) for i in range(70)], []
+    for _ in range(40):  # copies of one text that differ more or less
+        own = list(words)
+        for _ in range(rng.randint(0, 9)):
+            own[rng.randrange(len(own))] = rng.choice(["x", "y", f"z{rng.randrange(9)}"])
+        extra.append(" ".join(own))
+    docs = documents(spark, n=20, extra=extra)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_copies(docs.repartition(3), percent=percent).collect())
+    assert got == brute(docs.collect(), percent=percent)
+
+
 def test_near_copies_empty(spark):
     assert ngram_join.near_copies(empty(spark)).count() == 0
 
@@ -290,3 +334,21 @@ def test_signatures_miss_no_partner(n, changed, seed, often):
         assert ngram_join.may_link(ngram_join.bitmap(base), ngram_join.bitmap(other), len(base), len(other), 85)
         a, b = (ngram_join.signatures(x, frequent) for x in (base, other))
         assert len(np.intersect1d(a, b))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 150), st.integers(0, 40), st.integers(0, 2**32), st.floats(0, 1), st.floats(0, 1), st.sampled_from([50, 80, 85]))
+def test_signatures_and_their_bound_miss_no_partner(n, changed, seed, often, top, percent):
+    rng = np.random.default_rng(seed)
+    base = np.unique(rng.integers(0, 2**63, n, np.uint64))
+    other = np.unique(np.concatenate([rng.permutation(base)[changed:], rng.integers(0, 2**63, int(rng.integers(0, changed + 1)), np.uint64)]))
+    every = np.union1d(base, other)
+    frequent = every[rng.random(len(every)) < often]
+    very = frequent[rng.random(len(frequent)) < top]
+    shared = len(np.intersect1d(base, other))
+    if shared and 100 * shared >= percent * (len(base) + len(other) - shared):
+        found = []
+        for x in (base, other):
+            sig, single, rare = ngram_join.split_signatures(x, frequent, percent, very)
+            found.append({s: len(x) - (0 if i < single else rare) for i, s in enumerate(sig.tolist())})
+        assert any(100 * m >= percent * (len(base) + len(other) - m) for m in (min(found[0][s], found[1][s]) for s in found[0].keys() & found[1].keys()))
