@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,32 +43,36 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-_cleaning = threading.Lock()
+#: Settings while a table is written: its shuffles go as soon as it is there, and texts go to Python in smaller batches.
+WRITING = {CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+_changing = threading.Lock()
 _writers: dict[str, list] = {}
 
 
 @contextmanager
-def cleaned(spark: SparkSession) -> Iterator[None]:
-    """CLEANUP holds within; the session gets its own value back when the last of several threads is done."""
+def writing(spark: SparkSession) -> Iterator[None]:
+    """WRITING holds within; the session gets its own values back when the last of several threads is done."""
     session = spark._jsparkSession.sessionUUID()
-    with _cleaning:
-        own = _writers.setdefault(session, [0, spark.conf.get(CLEANUP, "false")])
+    with _changing:
+        own = _writers.setdefault(session, [0, {k: spark.conf.get(k, None) for k in WRITING}])
         own[0] += 1
-        spark.conf.set(CLEANUP, "true")
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
     try:
         yield
     finally:
-        with _cleaning:
+        with _changing:
             own[0] -= 1
             if not own[0]:
-                spark.conf.set(CLEANUP, own[1])
+                for k, v in own[1].items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
                 del _writers[session]
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written as a table in the shared folder and read again: later steps start from the files, also after the loss of executors."""
     path = scratch_path(df.sparkSession, label)
-    with cleaned(df.sparkSession):  # the shuffles behind the table go as soon as it is written
+    with writing(df.sparkSession):
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path
@@ -81,6 +87,26 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def give_back() -> None:
+    """Returns the memory that this process holds no more to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which the worker gives the memory that it holds no more back to the system: workers live on, beside other tasks."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of some rows, so that what Python makes of a piece stays small."""
     for batch in batches:

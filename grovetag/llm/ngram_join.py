@@ -2,8 +2,8 @@
 
 Tokens are the hashes of k-word shingles, ordered rare ones first, then frequent ones, then very
 frequent ones, and by hash within these. Two sets can only reach the threshold if they share tokens in their
-prefixes. A rare token is a signature by itself. Tokens that a summary over all documents
-finds frequent form classes that need a shared pair, and very frequent ones classes that need a shared
+prefixes. A rare token is a signature by itself. Tokens that many documents
+hold form classes that need a shared pair, and very frequent ones classes that need a shared
 triple: a class of the prefix with n tokens counts n - 1 (n - 2) towards the length the prefix must
 reach, so the prefix is extended, and its signatures are the pairs (triples) within a class. (With fewer
 shared tokens in each class and no shared rare token, the prefix alone has more unshared tokens than
@@ -23,7 +23,7 @@ signature still holds several components, the pairs across them are verified as
 no link that could join two components is missed, and groups of near copies cost a
 few pairs a set, not all pairs.
 
-Which shingles are frequent is told by Bloom filters of bounded size. They may call a rare shingle
+Which shingles are frequent is counted over all documents and told by Bloom filters of bounded size. They may call a rare shingle
 frequent, alike for all sets, which changes the cost and no result; so no number of frequent shingles is too large.
 Shingles are 64-bit hashes, sets are named by 64 bits of a 128-bit hash; where two sets have one name
 the other 64 bits give them new ones. Equal sets are one node from the start.
@@ -44,23 +44,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, slices, stored, text_or_empty
+from .common import discard, slices, stored, text_or_empty, tidy
 from .components import components
 from .shingles import mixed, shingles
 
 WORDS = 4
 PERCENT = 85
-#: Documents from which a shingle counts as frequent and as very frequent, and shingles (a quarter of them) whose counts a task holds on to.
+#: Documents from which a shingle counts as frequent and as very frequent, and shingles that a task counts at a time, on average, in as many groups as needed (MOST_GROUPS at most).
 FREQUENT = 32
 VERY_FREQUENT = 1024
-MOST_FREQUENT = 1 << 18
+MOST_FREQUENT = 1 << 21
+MOST_GROUPS = 1 << 18
 #: Bits of the filters of frequent shingles for each of these, and the most bits of a filter.
 BITS_A_SHINGLE = 16
 MOST_BITS = 1 << 28
 #: Bits of a set's name.
 NAME_BITS = 64
-#: Shingles that a task counts at a time.
-CHUNK = 1 << 21
+#: Shingles that a task deals to the groups at a time.
+CHUNK = 1 << 20
 #: Rows that a task works on at a time.
 ROWS = 500
 #: Bits of the filter of the documents whose sets are wanted.
@@ -72,30 +73,29 @@ _ONE, _TWO, _THREE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB
 
 
 class Bloom:
-    """A filter of 64-bit hashes with three bits each; `bits` is a power of two."""
+    """A filter of 64-bit hashes, without their last `drop` bits, with three bits each; `bits` is a power of two."""
 
     SHIFTS = (0, 18, 36)
 
-    def __init__(self, bits: int):
-        self.bits, self.held = bits, np.zeros(bits // 8, np.uint8)
+    def __init__(self, bits: int, drop: int = 0):
+        self.bits, self.drop, self.held = bits, drop, np.zeros(bits // 8, np.uint8)
 
-    def add(self, hashes: np.ndarray) -> None:
+    def add(self, keys: np.ndarray) -> None:
+        """keys: hashes without their last bits."""
+        keys = mixed(keys)
         for shift in self.SHIFTS:
-            at = hashes >> np.uint64(shift) & np.uint64(self.bits - 1)
+            at = keys >> np.uint64(shift) & np.uint64(self.bits - 1)
             np.bitwise_or.at(self.held, at >> np.uint64(3), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
 
-    def __contains__(self, hash_: int) -> bool:
-        return bool(self.has(np.array([hash_], np.uint64))[0])
-
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
+        keys, out = mixed(hashes >> np.uint64(self.drop)), np.ones(len(hashes), bool)
         for shift in self.SHIFTS:
-            at = hashes >> np.uint64(shift) & np.uint64(self.bits - 1)
+            at = keys >> np.uint64(shift) & np.uint64(self.bits - 1)
             out &= (self.held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
         return out
 
 
-def bloom_of(hashes: DataFrame, bits: int) -> Bloom:
+def bloom_of(keys: DataFrame, bits: int, drop: int = 0) -> Bloom:
     """The filter of a table's first column; at most `bits` bits go to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,33 +115,33 @@ def bloom_of(hashes: DataFrame, bits: int) -> Bloom:
                 held[i] = held[i] | part if i in held else part
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([p.tobytes() for p in held.values()], pa.binary())], names=["at", "part"])
 
-    out = Bloom(bits)
-    for r in hashes.mapInArrow(run, "at int, part binary").repartition("at").mapInArrow(merge, "at int, part binary").collect():
+    out = Bloom(bits, drop)
+    for r in keys.mapInArrow(run, "at int, part binary").repartition("at").mapInArrow(merge, "at int, part binary").collect():
         out.held[r["at"] : r["at"] + len(r["part"])] |= np.frombuffer(bytes(r["part"]), np.uint8)
     return out
 
 
 def frequent_shingles(docs: DataFrame, k: int, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> tuple[Bloom, Bloom]:
-    """Filters of the shingles that at least `frequent` and VERY_FREQUENT documents hold. Tasks sum what they see more than once, equal texts counted once a task; counts may fall short, which changes the order of tokens and no result."""
+    """Filters of the shingles that at least `frequent` and VERY_FREQUENT documents hold, equal texts counted once a task.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        held, size = [], 0
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-
-        def add():
-            nonlocal keys, counts, held, size
-            if held:
-                key, n = np.unique(np.concatenate(held), return_counts=True)
-                key, n = key[n > 1], n[n > 1]
-                held = []
-                both, where = np.unique(np.concatenate([keys, key]), return_inverse=True)
-                total = np.bincount(where, np.concatenate([counts, n]), len(both)).astype(np.int64)
-                if len(both) > 4 * most:
-                    keep = np.argpartition(total, -4 * most)[-4 * most :]
-                    keep.sort()
-                    both, total = both[keep], total[keep]
-                keys, counts, size = both, total, 0
+    All shingles are counted, by their first bits: the leading ones tell the group that a shingle is dealt to, and the 32 bits behind them go there,
+    four bytes a shingle. Groups are sorted and counted one at a time. Shingles that share these bits count as one.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    lead = min(MOST_GROUPS.bit_length() - 1, (size // 6 // most).bit_length())  # 6 bytes a word or more
+    groups, drop = 1 << lead, 32 - lead
+
+    @tidy
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, n = set(), [], 0
+        edges = np.arange(1, groups, dtype=np.uint64) << np.uint64(64 - lead) if lead else np.empty(0, np.uint64)
+
+        def rows() -> pa.RecordBatch:
+            keys = np.sort(np.concatenate(held))
+            low = (keys >> np.uint64(drop)).astype(np.uint32)
+            cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+            full = np.flatnonzero(np.diff(cuts))
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([low[cuts[g] : cuts[g + 1]].tobytes() for g in full.tolist()], pa.binary())], names=["part", "low"])
 
         for batch in slices(batches, ROWS):
             fresh = []
@@ -153,19 +153,41 @@ def frequent_shingles(docs: DataFrame, k: int, frequent: int = FREQUENT, most: i
                         seen.add(name)
             for tokens in shingles(fresh, k):
                 held.append(tokens)
-                size += len(tokens)
-                if size >= CHUNK:
-                    add()
-        add()
-        for i in range(0, len(keys), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(counts[i : i + (1 << 16)])], names=["token", "n"])
-
-    counted = docs.select(text_or_empty().alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    often = stored(counted.where(F.col("n") >= frequent), "join-frequent")
+                n += len(tokens)
+                if n >= CHUNK:
+                    yield rows()
+                    held, n = [], 0
+        if n:
+            yield rows()
+
+    @tidy
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = -1, []
+
+        def rows() -> pa.RecordBatch:
+            low = np.sort(np.frombuffer(b"".join(held), np.uint32))
+            start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+            n = np.diff(np.append(start, len(low)))
+            many = n >= frequent
+            keys = low[start[many]].astype(np.uint64) | np.uint64(part << 32)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n[many])], names=["token", "n"])
+
+        for batch in batches:
+            for g, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if g != part:
+                    if held:
+                        yield rows()
+                    part, held = g, []
+                held.append(low)
+        if held:
+            yield rows()
+
+    dealt = docs.select(text_or_empty().alias("text")).mapInArrow(deal, "part int, low binary")
+    often = stored(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(count, "token long, n long"), "join-frequent")
     out = []
     for least in (frequent, VERY_FREQUENT):
         own = often.where(F.col("n") >= least).select("token")
-        out.append(bloom_of(own, min(MOST_BITS, max(1 << 16, 1 << (BITS_A_SHINGLE * own.count()).bit_length()))))
+        out.append(bloom_of(own, min(MOST_BITS, max(1 << 16, 1 << (BITS_A_SHINGLE * own.count()).bit_length())), drop))
     discard(often)
     return tuple(out)
 
@@ -273,6 +295,7 @@ def sets_with_signatures(docs: DataFrame, k: int, percent: int, frequent: tuple[
     held = docs.sparkSession.sparkContext.broadcast(frequent)  # 2 * MOST_BITS bits at most
     name_bits = NAME_BITS
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, very = held.value
         for batch in slices(batches, ROWS):
@@ -350,6 +373,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int, ren
     discard(named)
     name_bits = NAME_BITS
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_, seen = held.value, set()
         for batch in slices(batches, ROWS):

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running, slices, stored, text_or_empty
+from .common import running, slices, stored, text_or_empty, tidy
 
 WINDOW = 1024
 END_ID = 0
@@ -111,6 +111,7 @@ def tokenised(docs: DataFrame, vocabulary: str, segment: int = WINDOW) -> DataFr
     schema = f"doc_id {kind['doc_id']}, source {kind['source']}, block int, start long, at long, n int, doc_tokens long, ids binary"
     end = END_ID.to_bytes(2, "little")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, block, queued = encoder(vocabulary), TaskContext.get().partitionId(), {}
         for batch in slices(batches, ROWS):
@@ -191,6 +192,7 @@ def digest(pieces: DataFrame) -> DataFrame:
     """pieces with the CRC of the ids as unsigned 32-bit numbers in place of the ids."""
     kind = dict(pieces.dtypes)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, PIECES):
             ids = batch.column("ids")

@@ -31,10 +31,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import give_back, slices, text_or_empty, tidy
 
 #: Labelled documents of each class that the model is fitted on at most.
 MOST_LABELLED = 4000
@@ -49,6 +49,8 @@ THRESHOLD = 0.7
 REMEMBERED = 200_000
 #: Units that are scored at a time.
 BLOCK = 20_000
+#: Tokens of texts that are held as words at a time.
+TOKENS = 200_000
 
 #: (first step, second step) of a subsequence of three characters.
 STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
@@ -301,7 +303,7 @@ def training_bags(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     chosen = F.broadcast(picked[0].union(picked[1]).select("doc_id", (F.col("toxic") != 0).alias("toxic")))  # 2 * most rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 500):
             own = [sorted(document_units(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "toxic", "units"])
 
@@ -316,49 +318,57 @@ def training_bags(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     return Bags(np.array(rows.column("toxic")), np.concatenate([[0], np.cumsum(sizes)]), coded.indices.to_numpy(), coded.dictionary.to_pylist())
 
 
-def margins(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """docs' columns in keep, and score: each distinct unit of a batch is scored once."""
-    held = docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.bias, model.slope, model.shift))
-    kinds = dict(docs.dtypes)
+def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model | None:
+    """The model of the labelled documents; what the fit needed on the driver goes back to the system."""
+    model = fit(training_bags(docs, labels, most))
+    give_back()
+    return model
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def margin(model: Model, spark: SparkSession):
+    """A function of a text column: the score of each text; each distinct token of a batch is scored once."""
+    held = spark.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.bias, model.slope, model.shift))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = held.value
         memo: dict[str, float] = {}
-        for batch in batches:
-            texts = batch.column(len(keep))
+        for texts in batches:
             out, at = [], 0
             while at < len(texts):
                 split, size = [], 0
-                while at < len(texts) and size < 300_000:
+                while at < len(texts) and size < TOKENS:
                     split.append(texts[at].as_py().split())
                     size += len(split[-1])
                     at += 1
                 tokens = sorted({t for s in split for t in s} - memo.keys())
-                names = [units(t) for t in tokens]
-                flat = [u for u in names for u in u]
-                value = own.margins(flat) if flat else np.empty(0)
                 if len(memo) + len(tokens) > REMEMBERED:
-                    memo = {t: memo[t] for s in split for t in s if t in memo} if len(memo) < 2 * REMEMBERED else {}
-                    missing = {t for s in split for t in s} - memo.keys() - set(tokens)
-                    if missing:
-                        more = sorted(missing)
-                        parts = [units(t) for t in more]
-                        flat += [u for p in parts for u in p]
-                        tokens, names = tokens + more, names + parts
-                        value = own.margins(flat)
-                ends = np.cumsum([len(n) for n in names]).tolist()
-                start = 0
-                for t, e in zip(tokens, ends, strict=True):
-                    memo[t] = float(value[start:e].max()) if e > start else own.bias
-                    start = e
+                    memo = {}
+                    tokens = sorted({t for s in split for t in s})
+                for i in range(0, len(tokens), BLOCK):
+                    part = tokens[i : i + BLOCK]
+                    names = [units(t) for t in part]
+                    flat = [u for u_ in names for u in u_]
+                    value = own.margins(flat) if flat else np.empty(0)
+                    start = 0
+                    for t, n in zip(part, names, strict=True):
+                        memo[t] = float(value[start : start + len(n)].max()) if n else own.bias
+                        start += len(n)
                 for s in split:
                     best = max(map(memo.__getitem__, s), default=own.bias)
                     if runs := spaced_runs(s):
                         best = max(best, float(own.margins(runs).max()))
                     out.append(best)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(own.score(np.array(out)))], names=[*keep, "score"])
+                del split
+            yield pa.array(own.score(np.array(out, float)))
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty().alias("text__")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
+    tidied = tidy(run)
+    tidied.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(tidied, "double")
+
+
+def margins(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """docs' columns in keep, and score."""
+    return docs.select(*[F.col(f"`{c}`") for c in keep], margin(model, docs.sparkSession)(text_or_empty()).alias("score"))
 
 
 def spaced_runs(tokens: list[str]) -> list[str]:
@@ -369,9 +379,18 @@ def spaced_runs(tokens: list[str]) -> list[str]:
     return spaced(tokens)
 
 
-def score(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns in keep), held_out, score and predicted of each document."""
-    keep = keep or ["doc_id"]
-    model = fit(training_bags(docs, labels, most))
-    scored = margins(docs, model, keep) if model else docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias("score"))
-    return scored.select(*[F.col(f"`{c}`") for c in keep], held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+def score(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """doc_id, held_out, score and predicted of each document."""
+    model = trained(docs, labels, most)
+    found = margin(model, docs.sparkSession)(text_or_empty()) if model else F.lit(0.0)
+    scored = docs.select("doc_id", found.alias("score"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """docs without the documents that are predicted to be toxic, in their columns. Only texts go to Python, and only scores come back."""
+    model = trained(docs, labels, most)
+    if not model:
+        return docs
+    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")
+    return docs.select(record, margin(model, docs.sparkSession)(text_or_empty()).alias("score")).where(F.col("score") < THRESHOLD).select("record.*")

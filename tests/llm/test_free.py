@@ -305,7 +305,7 @@ def test_near_copies_of_very_frequent_shingles(spark, monkeypatch, name_bits, pe
 
     monkeypatch.setattr(ngram_join, "VERY_FREQUENT", 4)
     monkeypatch.setattr(ngram_join, "NAME_BITS", name_bits)
-    monkeypatch.setattr(ngram_join.frequent_shingles, "__defaults__", (2, ngram_join.MOST_FREQUENT))
+    monkeypatch.setattr(ngram_join.frequent_shingles, "__defaults__", (2, 300))
     rng = random.Random(9)
     words, extra = [prose(rng, 1) + str(i) for i in range(70)], []
     for _ in range(40):  # copies of one text that differ more or less
