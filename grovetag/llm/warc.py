@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stored
+from .common import scratch_path, slices, stored
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -36,8 +36,12 @@ SEPARATOR = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
-#: Records of a file at most, so that a file fits a task's memory.
-RECORDS_A_FILE = 2048
+#: Bytes of records in a row of the text sink (a longer record is a row by itself), and rows of a file: a reader takes whole files.
+ROW_BYTES, ROWS_A_FILE = 4 << 20, 8
+#: Pages that a task works on at a time.
+PAGES = 200
+#: Digests with more than a share of 1 / HOT of all records are joined by broadcast: HOT of them at most.
+HOT = 1000
 RECORD = "record_id string, record_type string, page_id long, uri string, date string, payload_digest string, payload_bytes long, refers_to string"
 
 
@@ -105,13 +109,23 @@ def _inflated(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
 
 def write_archive(rows: DataFrame, path: str) -> None:
     """rows: the columns of RECORD and payload."""
+    between = SEPARATOR.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([record(r) for r in batch.to_pylist()], pa.binary())], names=["value"])
+        held, n = [], 0
+        for batch in slices(batches, PAGES):
+            names = batch.schema.names
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(record(dict(zip(names, row, strict=True))))
+                n += len(held[-1])
+                if n >= ROW_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([between.join(held)], pa.binary())], names=["value"])
+                    held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([between.join(held)], pa.binary())], names=["value"])
 
     out = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    out.write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    out.write.option("lineSep", SEPARATOR).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", ROWS_A_FILE).text(path)
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
@@ -119,7 +133,6 @@ def read_archive(spark: SparkSession, path: str, payload: bool = False) -> DataF
     schema = RECORD + ", payload binary" * payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in schema.split(", ")]
         arrow = pa.schema([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in schema.split(", ")])
         for batch in batches:
             for content in batch.column(0):
@@ -130,32 +143,37 @@ def read_archive(spark: SparkSession, path: str, payload: bool = False) -> DataF
                     if body is not None and digest(body) != told:
                         raise ValueError(f"record {head['warc-record-id']} doesn't have the payload that its digest names")
                     row = (head["warc-record-id"], head["warc-type"], None if page is None else int(page), head["warc-target-uri"], head["warc-date"], told, None if body is None else len(body), head.get("warc-refers-to"), body)
-                    held.append(dict(zip(names, row, strict=False)))
-                    n += len(body or b"") + 500
-                    if n > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(held, arrow)
+                    held.append(row if payload else row[:-1])
+                    n += len(body or b"") * payload + 500
+                    if n > ROW_BYTES:
+                        yield _batch(held, arrow)
                         held, n = [], 0
                 if held:
-                    yield pa.RecordBatch.from_pylist(held, arrow)
+                    yield _batch(held, arrow)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(run, schema)
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def crawl_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """A response for each page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("payload", pa.binary())])
+        for batch in slices(batches, PAGES):
             rows = []
-            for r in batch.to_pylist():
-                body = (r["html"] or "").encode()
-                name = uuid.uuid5(uuid.NAMESPACE_URL, f"{r['page_id']}/{part}/{k}")
+            for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                body = (html or "").encode()
+                name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page}/{part}/{k}")
                 k += 1
-                rows.append({"record_id": f"<urn:uuid:{name}>", "record_type": "response", "page_id": r["page_id"], "uri": clean_uri(r["url"]), "date": date, "payload_digest": digest(body), "payload_bytes": len(body), "refers_to": None, "payload": body})
-            schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("payload", pa.binary())])
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                rows.append((f"<urn:uuid:{name}>", "response", page, clean_uri(url), date, digest(body), len(body), None, body))
+            if rows:
+                yield _batch(rows, schema)
 
     return pages.select("page_id", "url", "html").mapInArrow(run, RECORD + ", payload binary")
 
@@ -164,8 +182,15 @@ def deduplicate(spark: SparkSession, source: str, target: str, least_bytes: int
     """Reads the archive in source and writes one to target in which repeated payloads of at least least_bytes are revisits."""
     heads = read_archive(spark, source).select("record_id", "page_id", "payload_digest", "payload_bytes")
     heads = stored(heads.where(F.col("payload_bytes") >= least_bytes), "warc-heads")
-    first = heads.groupBy("payload_digest").agg(F.max(F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", "record_id")).alias("first"))
-    links = heads.join(first, "payload_digest").where(F.col("record_id") != F.col("first.record_id")).select("record_id", F.col("first.record_id").alias("original"))
+    first = heads.groupBy("payload_digest").agg(F.max(F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", "record_id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = stored(first, "warc-first")
+    # a digest that many records share isn't joined by shuffle, as they would meet in one task
+    bar = heads.count() // HOT + 1
+    often = F.broadcast(first.where(F.col("n") > bar).select("payload_digest", F.col("first").alias("hot")))  # HOT rows at most
+    marked = heads.select("record_id", "payload_digest").join(often, "payload_digest", "left")
+    hot = marked.where("hot is not null").select("record_id", F.col("hot").alias("first"))
+    rest = marked.where("hot is null").join(first.where(F.col("n") <= bar), "payload_digest").select("record_id", "first")
+    links = hot.union(rest).where(F.col("record_id") != F.col("first.record_id")).select("record_id", F.col("first.record_id").alias("original"))
     links = stored(links, "warc-links")
     rows = read_archive(spark, source, payload=True).join(links, "record_id", "left")
     again = F.col("original").isNotNull()
