@@ -26,7 +26,8 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST_REPEATS = 2
 
-#: Hash bits of a level of the histogram.
+#: Bits of a document's hash (2 to that power, the threshold that all lie under, is a long as well), and of a level of the histogram.
+HASH_BITS = 62
 BITS = 12
 #: Sources up to which the small tables by source are broadcast; beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 10_000
@@ -50,7 +51,7 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, bu
 
 
 def _row_hash(seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source", "text"), 1)  # 63 bits, at least 0
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source", "text"), 64 - HASH_BITS)
 
 
 def thresholds(rows: DataFrame, weights: Sequence[float], budget: float, most: float) -> DataFrame:
@@ -69,10 +70,10 @@ def thresholds(rows: DataFrame, weights: Sequence[float], budget: float, most: f
     rows = rows.join(key, rows["source"].eqNullSafe(key["s"])).drop("s")
     rest = {i: goal[s] - passes[s] * sizes[s] for s, i in order.items()}
     low = dict.fromkeys(rest, 0)  # all hashes below are taken
-    open_, shift = {i for i in rest if rest[i] > 0}, 63
+    open_, shift = {i for i in rest if rest[i] > 0}, HASH_BITS
     while open_ and shift > 0:
         shift = max(0, shift - BITS)
-        bounds = by_source([(i, low[i], low[i] + (1 << min(63, shift + BITS)) - 1) for i in open_], "k int, low long, high long")
+        bounds = by_source([(i, low[i], low[i] + (1 << min(HASH_BITS, shift + BITS)) - 1) for i in open_], "k int, low long, high long")
         bucket = F.shiftright(F.col("row_hash") - F.col("low"), shift).alias("bucket")
         hist = rows.join(bounds, "k").where(F.col("row_hash").between(F.col("low"), F.col("high"))).groupBy("k", bucket).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"))
         run = Window.partitionBy("k").orderBy("bucket")
@@ -91,7 +92,7 @@ def thresholds(rows: DataFrame, weights: Sequence[float], budget: float, most: f
                     low[i] += 1 << shift
                 open_.discard(i)
         for i in open_ - seen:  # all of it fits
-            low[i] = (1 << 63) - 1
+            low[i] = 1 << HASH_BITS
         open_ &= seen
     return by_source([(s, passes[s], low[i], sizes[s], float(goal[s])) for s, i in order.items()], "source_ string, passes int, below long, source_size long, target double")
 
