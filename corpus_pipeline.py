@@ -14,8 +14,7 @@ from grovetag.llm.common import stored, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject."""
-    scored = toxicity.score(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
-    return scored.where("predicted = 0").select(docs.columns)
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
