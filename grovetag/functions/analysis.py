@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,11 +53,20 @@ def prefixed(tokens: Column, prefix: str = EDGE) -> Column:
     return F.transform(F.filter(tokens, lambda t: F.length(t) > 0), lambda t: F.concat(F.lit(prefix), t))
 
 
+def _once(tokens: Column, make: Callable[[Column], Column]) -> Column:
+    """make(tokens), with tokens worked out once however often make names them."""
+    return F.element_at(F.transform(F.array(tokens), make), 1)
+
+
 def shingles(tokens: Column, output_unigrams: bool = False) -> Column:
     """Neighbouring pairs without a separator; with output_unigrams after the tokens themselves."""
-    n = F.size(tokens)
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(F.element_at(tokens, i), F.element_at(tokens, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(tokens, pairs) if output_unigrams else pairs
+
+    def pairs(t: Column) -> Column:
+        n = F.greatest(F.size(t) - 1, F.lit(0))
+        both = F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat(a, b))
+        return F.concat(t, both) if output_unigrams else both
+
+    return F.when(tokens.isNotNull(), _once(tokens, pairs))
 
 
 def normalised_query(query: Column) -> Column:

@@ -2,18 +2,17 @@
 
 They run as Arrow functions over a vocabulary of distinct tokens. The rules of Daitch-Mokotoff and of
 Beider-Morse (generic names, approximate, any language) are data of the Apache codec
-library that is part of each Spark installation; they are read from its jar.
+library that is part of each Spark installation; the driver's JVM reads them from its class path.
+Double Metaphone follows Lawrence Philips' published algorithm (C/C++ Users Journal, June 2000).
 """
 
 from __future__ import annotations
 
 import re
-import zipfile
 from functools import cache, lru_cache
-from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,13 +27,14 @@ _NEEDED = ("dmrules", "bm/gen_rules_any", "bm/gen_approx_common", "bm/gen_exact_
 
 
 def rule_texts() -> dict[str, str]:
-    """The rule files, read where Spark is installed; workers get them with the function that needs them."""
+    """The rule files, by the class loader of the driver's JVM, wherever Spark lives; workers get them with the function that needs them."""
     if not _texts:
-        import pyspark
-
-        jar = next((Path(pyspark.__file__).parent / "jars").glob("commons-codec-*.jar"))
-        with zipfile.ZipFile(jar) as z:
-            _texts.update({n: z.read(f"org/apache/commons/codec/language/{n}.txt").decode() for n in _NEEDED})
+        jvm = SparkSession.getActiveSession().sparkContext._jvm
+        loader = jvm.org.apache.spark.util.Utils.getContextOrSparkClassLoader()
+        for name in _NEEDED:
+            stream = loader.getResourceAsStream(f"org/apache/commons/codec/language/{name}.txt")
+            _texts[name] = bytes(stream.readAllBytes()).decode()
+            stream.close()
     return _texts
 
 

@@ -1,7 +1,9 @@
 """Sectioned search: the best reading of a query against a typed catalogue.
 
-Catalogue rows: doc_id, doc_type, and one array of tokens for each field. Its postings hold each token
-and its marked prefixes, so exact and prefix conditions are the same equi-join.
+Catalogue rows: doc_id, doc_type, and one array of tokens for each field. Postings are of the distinct values
+of a field, not of the rows: they hold each token of a value and its marked prefixes, so exact and prefix
+conditions are the same equi-join. A clause meets the postings of its rarest term alone, the values found are held
+against its other terms, and the rows of the types that are asked for join the matching values last.
 """
 
 from __future__ import annotations
@@ -12,17 +14,23 @@ from pyspark.sql import functions as F
 from .. import config
 from ..config import Instance
 from ..functions.analysis import EDGE, edge_grams, words
+from ..sources.stores import written
 from . import forests as _forests
 from . import retrieval
 from .matching import EDGE as EDGE_CODE
 from .matching import EDGE_PHONETIC
 
 
+def _values(catalogue: DataFrame, fields: tuple[str, ...], *more: str) -> DataFrame:
+    """(doc_type, field, value, more) of the rows' fields that have tokens; a value is its tokens, joined by spaces."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.array_join(F.col(f), " ").alias("value")) for f in fields])).alias("f")
+    return catalogue.select("doc_type", *more, each).select("doc_type", "f.field", "f.value", *more).where("value <> ''")
+
+
 def catalogue_postings(catalogue: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """(doc_type, field, term, doc_id)."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("tokens")) for f in fields])).alias("f")
-    rows = catalogue.select("doc_type", "doc_id", each).select("doc_type", "doc_id", "f.field", F.explode(F.array_distinct(F.concat("f.tokens", edge_grams(F.col("f.tokens"))))).alias("term"))
-    return rows.select("doc_type", "field", "term", "doc_id")
+    """(doc_type, field, term, value) of the distinct values."""
+    tokens = F.split("value", " ")
+    return _values(catalogue, fields).distinct().select("doc_type", "field", F.explode(F.array_distinct(F.concat(tokens, edge_grams(tokens)))).alias("term"), "value")
 
 
 def match_terms(matches: Column) -> Column:
@@ -119,12 +127,41 @@ def clauses(reads: DataFrame, instance: Instance) -> DataFrame:
     return rows.select("query_id", "section", "clause", "doc_type", "field", F.explode("terms").alias("term"), F.size("terms").alias("needed"), "boost")
 
 
-def clause_scores(asked: DataFrame, posting: DataFrame) -> DataFrame:
-    """(query_id, section, doc_id, doc_type, score): scores of the clauses that match, summed."""
-    keys = ["query_id", "section", "clause", "doc_type", "doc_id"]
-    hits = asked.join(posting, ["doc_type", "field", "term"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed"), F.first("boost").alias("boost"))
-    scores = hits.where("n = needed").groupBy("query_id", "section", "doc_type", "doc_id").agg(F.sum(F.col("needed") * F.col("boost")).alias("score"))
-    return scores.select("query_id", "section", "doc_id", "doc_type", "score")
+def _holds(tokens: Column, term: Column) -> Column:
+    """Whether a term, or a marked prefix, is among the terms of tokens."""
+    prefix = F.substring(term, F.lit(len(EDGE) + 1), F.length(term))
+    return F.when(F.startswith(term, F.lit(EDGE)), F.exists(tokens, lambda t: F.startswith(t, prefix) & (F.length(t) > F.length(prefix)))).otherwise(F.array_contains(tokens, term))
+
+
+def clause_values(asked: DataFrame, posting: DataFrame) -> DataFrame:
+    """(query_id, section, doc_type, field, value, score): the clauses that each value of a field matches, summed by section."""
+    place = ["doc_type", "field", "term"]
+    found = asked.select(*place).distinct().join(posting, place).groupBy(*place).agg(F.count(F.lit(1)).alias("values"))
+    known = asked.join(found, place).groupBy("query_id", "section", "clause", "doc_type", "field").agg(
+        F.min(F.struct("values", "term")).alias("rarest"), F.collect_set("term").alias("terms"), F.first("needed").alias("needed"), F.first("boost").alias("boost")
+    )
+    known = known.where(F.size("terms") == F.col("needed")).withColumn("term", F.col("rarest.term"))
+    hits = known.join(posting, place).where(F.forall("terms", lambda t: _holds(F.split("value", " "), t)))
+    return hits.groupBy("query_id", "section", "doc_type", "field", "value").agg(F.sum(F.col("needed") * F.col("boost")).alias("score"))
+
+
+def clause_scores(asked: DataFrame, posting: DataFrame, catalogue: DataFrame, fields: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, section, doc_id, doc_type, score, keep): scores of the clauses that match, summed; keep: further columns of the catalogue."""
+    values = clause_values(asked, posting)
+    types = F.broadcast(asked.select("doc_type").distinct())  # those of the instance at most
+    rows = _values(catalogue.join(types, "doc_type", "left_semi"), fields, "doc_id", *keep)
+    scores = rows.join(values, ["doc_type", "field", "value"]).groupBy("query_id", "section", "doc_type", "doc_id").agg(F.sum("score").alias("score"), *[F.first(c).alias(c) for c in keep])
+    return scores.select("query_id", "section", "doc_id", "doc_type", "score", *keep)
+
+
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with `place`, their number from 1 in a total order: range partitions are sorted and written, and the sizes of those before are added."""
+    kept = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at__", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("at__", 33)
+    sizes = kept.groupBy(part.alias("part__")).agg(F.count(F.lit(1)).alias("n__"))  # a row for each partition
+    before = sizes.select("part__", F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before__"))
+    out = kept.join(F.broadcast(before), part == F.col("part__"))
+    return out.select(*rows.columns, (F.col("before__") + F.col("at__").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("place"))
 
 
 def type_rank(doc_type: Column, instance: Instance) -> Column:
@@ -158,16 +195,19 @@ def read_queries(queries: DataFrame, store: DataFrame, posting: DataFrame, insta
 def search(queries: DataFrame, store: DataFrame, posting: DataFrame, catalogue: DataFrame, catalogue_posting: DataFrame, instance: Instance, count: int = config.PAGE_SIZE, page: int = 0, section: str | None = None, phonetic: DataFrame | None = None) -> DataFrame:
     """Results of each query by section: query_id, section, title, rank, doc_type, doc_id, score. Queries without a reading have none."""
     best = _forests.best_forests(read_queries(queries, store, posting, instance, phonetic))
-    asked = clauses(readings(best, instance), instance)
-    asked = asked.where(F.col("section") == section) if section else asked
-    scores = clause_scores(asked, catalogue_posting).join(catalogue.select("doc_type", "doc_id", "model_status"), ["doc_type", "doc_id"])
+    reads = written(readings(best, instance), "readings")  # read once for each kind of clause
+    asked = clauses(reads, instance)
+    asked = written(asked.where(F.col("section") == section) if section else asked, "asked")
+    fields = tuple(c for c, kind in catalogue.dtypes if kind == "array<string>")
+    scores = clause_scores(asked, catalogue_posting, catalogue, fields, ("model_status",))
     titles = F.create_map(*[x for s in instance.sections for x in (F.lit(s.name), F.lit(s.title))])
     return paged(scores, instance, count, page).select("query_id", "section", F.element_at(titles, F.col("section")).alias("title"), "rank", "doc_type", "doc_id", "score")
 
 
 def autocomplete(queries: DataFrame, store: DataFrame, posting: DataFrame, catalogue: DataFrame, catalogue_posting: DataFrame, instance: Instance, count: int = config.PAGE_SIZE, page: int = 0, phonetic: DataFrame | None = None) -> DataFrame:
     """The first section of name searches, without pages."""
-    out = search(queries, store, posting, catalogue, catalogue_posting.where(~F.col("doc_type").endswith("_page")), instance, count, page, instance.sections[0].name, phonetic)
+    plain = ~F.col("doc_type").endswith("_page")
+    out = search(queries, store, posting, catalogue.where(plain), catalogue_posting.where(plain), instance, count, page, instance.sections[0].name, phonetic)
     return out.drop("section", "title")
 
 

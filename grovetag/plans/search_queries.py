@@ -241,11 +241,14 @@ def _given(spark, sf) -> DataFrame:
 
 
 def _section_scores(spark, sf, section: str | None = None) -> DataFrame:
-    catalogue = written(inputs.catalogue(spark, sf).where("doc_type <> 'new_model_page'"), "catalogue")
-    asked = search.clauses(search.readings(_given(spark, sf), INSTANCE), INSTANCE)
-    asked = asked.where(F.col("section") == section) if section else asked
-    scores = search.clause_scores(asked, search.catalogue_postings(catalogue, FIELDS))
-    return scores.join(catalogue.select("doc_type", "doc_id", "model_status"), ["doc_type", "doc_id"])
+    catalogue = inputs.catalogue(spark, sf).where("doc_type <> 'new_model_page'")
+    asked = search.clauses(written(search.readings(_given(spark, sf), INSTANCE), "readings"), INSTANCE)
+    if section:
+        asked = asked.where(F.col("section") == section)
+        types = next(s.types for s in INSTANCE.sections if s.name == section)
+        catalogue = catalogue.where(F.col("doc_type").isin(*types))  # the other types aren't even scanned
+    catalogue = written(catalogue, "catalogue")
+    return search.clause_scores(written(asked, "asked"), search.catalogue_postings(catalogue, FIELDS), catalogue, FIELDS, ("model_status",))
 
 
 def _section(section: str):
@@ -281,8 +284,8 @@ def paged_search(spark, sf):
 @_query(f"""WITH {_SQL_CATALOGUE} SELECT doc_id, doc_type, CAST(row_number() OVER (ORDER BY CASE doc_type WHEN 'new_brand' THEN 1 WHEN 'new_model' THEN 2 ELSE 3 END, model_status, doc_type, doc_id) AS INTEGER) AS place FROM cat WHERE doc_type LIKE 'new%'""")
 def type_rank_sort(spark, sf):
     rows = inputs.catalogue(spark, sf).where("doc_type like 'new%' and doc_type <> 'new_model_page'")
-    order = Window.orderBy(search.type_rank(F.col("doc_type"), INSTANCE), "model_status", "doc_type", "doc_id")
-    return rows.select("doc_id", "doc_type", F.row_number().over(order).alias("place"))
+    order = (search.type_rank(F.col("doc_type"), INSTANCE), "model_status", "doc_type", "doc_id")
+    return search.numbered(rows, *order).select("doc_id", "doc_type", F.col("place").cast("int").alias("place"))
 
 
 @_query("""WITH x AS (SELECT lower(p_name) AS k, p_brand FROM part), w AS (SELECT DISTINCT v AS k FROM (VALUES ('cold widget'), ('hot rod')) AS t(v))

@@ -153,9 +153,13 @@ def weight_factor(spark, sf):
 # ---- matching
 
 
+def _results(spark, sf) -> DataFrame:
+    return store.build_store(inputs.entities(spark, sf)).select(F.explode("tokens").alias("result")).distinct()
+
+
 def _pairs(spark, sf) -> DataFrame:
-    tokens = store.build_store(inputs.entities(spark, sf)).select(F.explode("tokens").alias("result")).distinct()
-    return retrieval.tokenised_queries(inputs.queries_table(spark)).crossJoin(tokens)  # a stated list of queries against all tokens
+    """The stated list of queries against all tokens: distances have no key to join by."""
+    return _results(spark, sf).crossJoin(F.broadcast(retrieval.tokenised_queries(inputs.queries_table(spark))))
 
 
 _SQL_PAIRS = f"{SQL_POSTINGS}, {SQL_QUERIES}, pairs AS (SELECT query_id, tokens, result FROM qt, (SELECT DISTINCT unnest(t) AS result FROM keys))"
@@ -163,14 +167,18 @@ _SQL_PAIRS = f"{SQL_POSTINGS}, {SQL_QUERIES}, pairs AS (SELECT query_id, tokens,
 
 @_query(f"WITH {_SQL_PAIRS} SELECT query_id, result, list_filter(tokens, lambda x: x = result)[1] AS token, 4.0 AS score FROM pairs WHERE list_contains(tokens, result)")
 def match_exact(spark, sf):
-    rows = _pairs(spark, sf).where(F.array_contains("tokens", F.col("result")))
+    asked = retrieval.tokenised_queries(inputs.queries_table(spark))
+    rows = asked.select("query_id", "tokens", F.explode(F.array_distinct("tokens")).alias("result")).join(_results(spark, sf), "result")
     return rows.select("query_id", "result", matching.exact_match(F.col("tokens"), F.col("result")).alias("token"), F.lit(4.0).alias("score"))
 
 
 @_query(f"""WITH {_SQL_PAIRS}, found AS (SELECT query_id, result, list_filter(tokens, lambda x: starts_with(result, x))[1] AS token FROM pairs WHERE NOT list_contains(tokens, result))
     SELECT query_id, result, token, 2.0 / (length(result) - length(token) + 1) AS score FROM found WHERE token IS NOT NULL""")
 def match_edge_gram(spark, sf):
-    rows = _pairs(spark, sf).where(~F.array_contains("tokens", F.col("result"))).withColumn("token", matching.edge_match(F.col("tokens"), F.col("result"))).where("token is not null")
+    asked = retrieval.tokenised_queries(inputs.queries_table(spark)).select("query_id", "tokens", F.explode(F.array_distinct("tokens")).alias("prefix"))
+    prefixes = _results(spark, sf).select("result", F.explode(F.transform(F.sequence(F.lit(1), F.length("result")), lambda i: F.substring("result", F.lit(1), i))).alias("prefix"))
+    rows = asked.join(prefixes, "prefix").select("query_id", "tokens", "result").distinct().where(~F.array_contains("tokens", F.col("result")))
+    rows = rows.withColumn("token", matching.edge_match(F.col("tokens"), F.col("result")))
     return rows.select("query_id", "result", "token", matching.edge_score(F.col("token"), F.col("result")).alias("score"))
 
 
@@ -258,14 +266,10 @@ _SQL_SIDES = """sides AS (SELECT p_partkey, p_retailprice / 100 AS s1, p_size AS
 
 @_query(f"""WITH {_SQL_SIDES} SELECT p_partkey, CAST(CASE WHEN abs(s2 - s1) * 100 / greatest(s1, s2) < 20 AND w1 <> w2 THEN sign(w2 - w1) WHEN s1 <> s2 THEN sign(s2 - s1) WHEN l1 <> l2 THEN sign(l1 - l2) ELSE sign(r1 - r2) END AS INTEGER) AS sign FROM sides""")
 def match_compare(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.orderBy("p_partkey")
-    part = inputs.table(spark, sf, "part")
-    rows = part.select(
-        "p_partkey", (F.col("p_retailprice") / 100).alias("s1"), F.col("p_size").alias("w1"), (F.col("p_partkey") % 2).alias("l1"), (F.col("p_partkey") % 3).alias("r1"),
-        (F.lead("p_retailprice", 1, 1000.0).over(w) / 100).alias("s2"), F.lead("p_size", 7, 5).over(w).alias("w2"), (F.col("p_size") % 2).alias("l2"), (F.col("p_size") % 3).alias("r2"),
-    )
+    part = search.numbered(inputs.table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size"), "p_partkey")
+    one = part.select("p_partkey", "place", (F.col("p_retailprice") / 100).alias("s1"), F.col("p_size").alias("w1"), (F.col("p_partkey") % 2).alias("l1"), (F.col("p_partkey") % 3).alias("r1"), (F.col("p_size") % 2).alias("l2"), (F.col("p_size") % 3).alias("r2"))
+    price, size = part.select((F.col("place") - 1).alias("place"), "p_retailprice"), part.select((F.col("place") - 7).alias("place"), F.col("p_size").alias("w2"))
+    rows = one.join(price, "place", "left").join(size, "place", "left").withColumn("s2", F.coalesce("p_retailprice", F.lit(1000.0)) / 100).withColumn("w2", F.coalesce("w2", F.lit(5)))
     side = lambda i: {"score": F.col(f"s{i}"), "weight": F.col(f"w{i}"), "level": F.col(f"l{i}"), "results": F.col(f"r{i}")}
     return rows.select("p_partkey", matching.compare_column(side(1), side(2)).alias("sign"))
 

@@ -173,7 +173,16 @@ def percent_distance(spark, sf):
     return rows.select("p_partkey", distance.percent_distance(distance.osa_distance(F.col("a"), F.col("b")), F.col("a"), F.col("b")).alias("percent"))
 
 
-@_query()
+_SQL_FOLDED = "translate(lower({x}), 'j', 'z')"
+_SQL_FUZZY_STEP = """CASE WHEN r.stop OR strpos(substr(term, r.at), x.c) = 0 THEN {'c': x.c, 'at': r.at, 'last': r.last, 'score': r.score, 'stop': true}
+    ELSE {'c': x.c, 'at': r.at + strpos(substr(term, r.at), x.c), 'last': r.at + strpos(substr(term, r.at), x.c) - 1,
+          'score': r.score + 1 + CASE WHEN r.at + strpos(substr(term, r.at), x.c) - 1 = r.last + 1 THEN 2 ELSE 0 END, 'stop': false} END"""
+
+
+@_query(f"""WITH {_SQL_TYPOS}, folded AS (SELECT p_partkey, a, b, {_SQL_FOLDED.format(x="a")} AS term, {_SQL_FOLDED.format(x="b")} AS query FROM typos),
+    steps AS (SELECT *, list_concat([{{'c': '', 'at': CAST(1 AS BIGINT), 'last': CAST(-5 AS BIGINT), 'score': CAST(0 AS BIGINT), 'stop': false}}],
+        [{{'c': substr(query, i, 1), 'at': CAST(1 AS BIGINT), 'last': CAST(-5 AS BIGINT), 'score': CAST(0 AS BIGINT), 'stop': false}} FOR i IN range(1, length(query) + 1)]) AS s FROM folded)
+    SELECT p_partkey, a, b, CAST(list_reduce(s, lambda r, x: {_SQL_FUZZY_STEP}).score AS INTEGER) AS score FROM steps""")
 def fuzzy_score(spark, sf):
     return _typos(spark, sf).select("p_partkey", "a", "b", distance.fuzzy_score(F.col("a"), F.col("b")).alias("score"))
 
