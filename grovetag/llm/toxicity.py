@@ -49,6 +49,8 @@ THRESHOLD = 0.7
 REMEMBERED = 200_000
 #: Units that are scored at a time.
 BLOCK = 20_000
+#: Units whose kernel values are worked out at a time.
+ROWS = 100
 #: Tokens of texts that are held as words at a time.
 TOKENS = 200_000
 
@@ -152,11 +154,11 @@ def kernel(names: list[str], landmarks: list[str]) -> np.ndarray:
     table = np.zeros((len(used) + 1, len(landmarks)))
     np.add.at(table, (place, lu), lv)
     out = np.zeros((len(names), len(landmarks)))
-    for at in range(0, len(names), 500):
-        u, k, v = features(names[at : at + 500])
+    for at in range(0, len(names), ROWS):
+        u, k, v = features(names[at : at + ROWS])
         i = np.searchsorted(used, k)
         hit = used[np.minimum(i, len(used) - 1)] == k
-        part = out[at : at + 500]
+        part = out[at : at + ROWS]
         order = np.argsort(u[hit], kind="stable")
         rows, cells = u[hit][order], table[i[hit][order]] * v[hit][order][:, None]
         if len(rows):
