@@ -172,12 +172,12 @@ def type_rank(doc_type: Column, instance: Instance) -> Column:
     return F.when(doc_type.endswith("_page"), 0).otherwise(out)
 
 
-def paged(scores: DataFrame, instance: Instance, count: int = config.PAGE_SIZE, page: int = 0, status: str = "model_status") -> DataFrame:
-    """Rank within each section of a query, cut to the page."""
+def paged(scores: DataFrame, instance: Instance, count: int | None = config.PAGE_SIZE, page: int = 0, status: str = "model_status") -> DataFrame:
+    """Rank within each section of a query, cut to the page; without a count all are ranked."""
     first = F.col("section") == instance.sections[0].name
     order = Window.partitionBy("query_id", "section").orderBy(F.col("score").desc(), F.when(first, type_rank(F.col("doc_type"), instance)).otherwise(0), F.when(first, F.col(status)), "doc_type", "doc_id")
     ranked = scores.withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank").between(page * count + 1, (page + 1) * count))
+    return ranked if count is None else ranked.where(F.col("rank").between(page * count + 1, (page + 1) * count))
 
 
 def with_totals(scores: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import analysis
-from ..operators import forests, scoring, search, store
+from ..operators import forests, requests, scoring, search, store
 from ..sources.stores import written
 from . import inputs
 from .inputs import FIELDS, INSTANCE, sql_words, table
@@ -339,6 +341,54 @@ def autocomplete_projection(spark, sf):
     return search.autocomplete_projection(out, INSTANCE)
 
 
+# ---- requests and responses
+
+
+_SQL_ASKED = f"asked AS (SELECT DISTINCT query_id, CASE query_id % 2 WHEN 0 THEN 3 ELSE 10 END AS count, CASE query_id % 2 WHEN 0 THEN 1 ELSE 0 END AS page FROM {inputs.sql_values(_READ)} AS v(query_id, words, level))"
+
+
+def _asked(spark) -> DataFrame:
+    """A request for each of the readings; even ones ask for the second page of three."""
+    rows = [(q, json.dumps(requests.request(w) if q % 2 else {"q": f" {w} ", "c": 3, "p": "1"})) for q, w, _ in _READ]
+    return requests.parsed(spark.createDataFrame(rows, "query_id long, body string"))
+
+
+@_query(f"""WITH x AS (SELECT p_partkey, p_name, p_size, p_partkey % 6 AS k FROM part)
+    SELECT p_partkey, CASE WHEN k < 4 THEN p_name END AS query, CASE WHEN k IN (0, 2) THEN 10 WHEN k IN (1, 3) THEN p_size END AS count, CASE WHEN k IN (0, 1) THEN 0 WHEN k = 2 THEN 4 WHEN k = 3 THEN 0 END AS page,
+           CASE WHEN k = 3 THEN 'news' END AS section, CASE k WHEN 4 THEN 'unknown field' WHEN 5 THEN 'not a number' END AS error FROM x""")
+def request_fields(spark, sf):
+    k, name = F.col("p_partkey") % 6, F.col("p_name")
+    padded = F.concat(F.lit("  "), name, F.lit(" "))
+    text = lambda **f: F.to_json(F.struct(*[v.alias(n) for n, v in f.items()]))
+    body = (
+        F.when(k == 0, text(query=name)).when(k == 1, text(q=padded, c=F.col("p_size"))).when(k == 2, text(text=name, p=F.lit("4"), instance=F.lit("default")))
+        .when(k == 3, text(q=F.lit("other"), query=padded, count=F.col("p_size"), s=F.lit(" news"))).when(k == 4, text(query=name, colour=F.lit("red"))).otherwise(text(query=name, page=F.lit("one")))
+    )
+    return requests.parsed(table(spark, sf, "part").select("p_partkey", body.alias("body"))).select("p_partkey", "query", "count", "page", "section", "error")
+
+
+@_query(_SQL_ALL + f""", {_SQL_ASKED}, ranked AS (SELECT *, {_SQL_RANK} AS rank FROM every),
+    cut AS (SELECT * FROM ranked JOIN asked USING (query_id) WHERE rank BETWEEN page * count + 1 AND (page + 1) * count),
+    c AS (SELECT query_id, section, count(*) AS n FROM cut GROUP BY ALL), t AS (SELECT query_id, section, count(*) AS total FROM every GROUP BY ALL)
+    SELECT a.query_id, words AS search_text, CAST(coalesce(sum(n), 0) AS BIGINT) AS count, CAST(coalesce(sum(total), 0) AS BIGINT) AS total_results, coalesce(string_agg(section || ' ' || CAST(coalesce(n, 0) AS VARCHAR) || '/' || CAST(total AS VARCHAR), ', ' ORDER BY
+        CASE section WHEN 'new_item' THEN 0 WHEN 'used_item' THEN 1 WHEN 'news' THEN 2 ELSE 3 END), '') AS sections
+    FROM (SELECT DISTINCT query_id, words FROM {inputs.sql_values(_READ)} AS v(query_id, words, level)) a LEFT JOIN t USING (query_id) LEFT JOIN c USING (query_id, section) GROUP BY a.query_id, words""")
+def search_response(spark, sf):
+    asked, scores = _asked(spark), written(_section_scores(spark, sf), "scores")
+    page = requests.page_of(search.paged(scores, INSTANCE, count=None), asked)
+    out = requests.responses(asked, page, search.with_totals(scores), INSTANCE)
+    sections = F.array_join(F.transform("results", lambda s: F.concat_ws("", s["name"], F.lit(" "), s["count"].cast("string"), F.lit("/"), s["total_results"].cast("string"))), ", ")
+    return out.select("query_id", "search_text", "count", "total_results", F.coalesce(sections, F.lit("")).alias("sections"))
+
+
+@_query(_SQL_ALL + f""" SELECT query_id, section, CAST(rank AS INTEGER) AS rank, r.doc_type, doc_id, array_to_string(w.brand, ' ') AS brand, array_to_string(w.variant, ' ') AS variant
+    FROM (SELECT *, {_SQL_RANK} AS rank FROM every) r JOIN words_of w USING (doc_id, doc_type) WHERE rank <= 10""")
+def search_projection(spark, sf):
+    page = search.paged(_section_scores(spark, sf), INSTANCE).select("query_id", "section", "rank", "doc_type", "doc_id")
+    rows = requests.with_fields(page, inputs.catalogue(spark, sf), include=("brand", "variant", "model_status"), exclude=("model_status",))
+    return rows.select("query_id", "section", "rank", "doc_type", "doc_id", F.array_join("brand", " ").alias("brand"), F.array_join("variant", " ").alias("variant"))
+
+
 # ---- end to end, from the text of the queries
 
 

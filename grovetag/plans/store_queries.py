@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import forests, matching, retrieval, scoring, search, store
+from ..operators import forests, matching, requests, retrieval, scoring, search, store
 from ..sources.stores import written
 from . import inputs
 from .inputs import INSTANCE, SQL_ENTITIES, SQL_POSTINGS, SQL_QUERIES, SQL_RETRIEVAL
@@ -260,6 +260,13 @@ def tag_order(spark, sf):
     return tag_weight_join(spark, sf).select("key", "tag_type", "name", F.row_number().over(Window.partitionBy("key").orderBy(level, F.col("weight").desc(), "name", "tag_type")).alias("place"))
 
 
+@_query(f"""WITH {SQL_ENTITIES}, tags AS (SELECT DISTINCT key, tag_type, name FROM emit), w AS (SELECT DISTINCT key, name, coalesce(CAST(w AS DOUBLE), 0.0) AS weight FROM tags LEFT JOIN {_SQL_WEIGHTS} AS v(n, w) ON n = name)
+    SELECT key, name, weight, CAST(row_number() OVER (PARTITION BY key ORDER BY weight DESC, name) AS INTEGER) AS place FROM w""")
+def tag_weight_order(spark, sf):
+    rows = tag_weight_join(spark, sf).select("key", "name", "weight").distinct()
+    return rows.withColumn("place", requests.by_weight(F.col("weight"), F.col("name")))
+
+
 _SQL_SIDES = """sides AS (SELECT p_partkey, p_retailprice / 100 AS s1, p_size AS w1, p_partkey % 2 AS l1, p_partkey % 3 AS r1,
     lead(p_retailprice, 1, 1000) OVER (ORDER BY p_partkey) / 100 AS s2, lead(p_size, 7, 5) OVER (ORDER BY p_partkey) AS w2, p_size % 2 AS l2, p_size % 3 AS r2 FROM part)"""
 
