@@ -1,10 +1,10 @@
 """Quality by co-training of a text-content and a page-metadata classifier.
 
-The content view holds hashed byte trigrams of the text and the share of words that repeat the word
-before; the metadata view holds source and language (hashed), length, line and
-character statistics. Both are logistic regressions fitted on labelled documents. In each
+The content view is made of the text alone: hashed byte trigrams, line, word and character statistics, and the share of
+words that repeat the word before. The metadata view is made of the other columns alone: source and language (hashed)
+and the stated number of characters, by itself, in steps of a power of four, and within its source's bucket. Both are logistic regressions fitted on labelled documents. In each
 round each view labels the unlabelled documents that it is surest of, a share GROWTH of all of them split by
-the labels' proportion, and hands them to the other view. All unlabelled documents that aren't held out take part:
+the labels' proportion, and no document with a margin under 3, and hands them to the other view. All unlabelled documents that aren't held out take part:
 their features are a table, from which tasks add up histograms of margins, that give the cuts, and gradients and
 second moments of what was handed over. Between two passes the driver uses the quadratic bound of that part of the loss.
 Documents in one bin of the histogram (1 / STEPS wide) are handed over together. At last each view is calibrated by
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, slices, stored, text_or_empty
+from .common import LOWER, slices, stored, text_or_empty, tidy
 from .shingles import word_hashes
 from .toxicity import held_out, platt
 
@@ -37,9 +37,11 @@ MOST_LABELLED = 3000
 ROUNDS, GROWTH, PASSES = 4, 300 / 6000, 3
 #: Bins of margins beyond 1, and how many of them a unit has.
 BINS, STEPS = 4096, 256
+#: The first bin that is handed over: margins of 3 (odds of 20 to 1). A view that can't tell documents apart so passes nothing on.
+LEAST = 2 * STEPS
 #: Numbers of a sum that are added up in one group.
 PIECE = 1 << 16
-CONTENT, SOURCES, LANGUAGES, STATISTICS = 768, 32, 8, 10
+CONTENT, STATISTICS, SOURCES, LANGUAGES, LENGTHS = 768, 10, 32, 8, 10
 THRESHOLD = 0.5
 
 
@@ -53,21 +55,26 @@ def views(text: str, source: str | None, lang: str | None, n_chars: int | None)
     b = np.frombuffer(data, np.uint8)
     words, _ = word_hashes(data.translate(LOWER)) if data else (np.empty(0, np.uint64), None)
     n = max(1, len(words))
-    content = np.zeros(CONTENT + 1, np.float32)
+    content = np.zeros(CONTENT + STATISTICS, np.float32)
     if len(b) > 2:
         wide = b.astype(np.uint32)
         key = (wide[:-2] * np.uint32(2654435761) + wide[1:-1] * np.uint32(2246822519) + wide[2:] * np.uint32(3266489917)) >> np.uint32(8)
         content[:CONTENT] = np.sqrt(np.bincount(key % CONTENT, minlength=CONTENT) / (len(b) - 2)) * 10
-    content[CONTENT] = 5 * (words[1:] == words[:-1]).sum() / n
     kinds = np.bincount(_KIND[b], minlength=6) / max(1, len(b))
     lines = kinds[4] * len(b) + 1
-    meta = np.zeros(SOURCES + LANGUAGES + 2 + STATISTICS, np.float32)
-    meta[_bucket(source, SOURCES)] = 1
-    meta[SOURCES + 1 + _bucket(lang, LANGUAGES)] = 1
-    meta[-STATISTICS:] = [np.log1p(len(b)) / 4, np.log1p(max(0, n_chars or 0)) / 4, np.log1p(lines) / 2, np.log1p(len(b) / lines) / 4, 5 * kinds[0], 2 * kinds[1], 5 * kinds[2], 10 * kinds[3], 2 * len(np.unique(words)) / n, len(b) / n / 4]
+    repeats = (words[1:] == words[:-1]).sum() / n
+    content[CONTENT:] = [5 * repeats, np.log1p(len(b)) / 4, np.log1p(lines) / 2, np.log1p(len(b) / lines) / 4, 5 * kinds[0], 2 * kinds[1], 5 * kinds[2], 10 * kinds[3], 2 * len(np.unique(words)) / n, len(b) / n / 4]
+    meta = np.zeros(META, np.float32)
+    size, from_ = np.log1p(max(0, n_chars or 0)), _bucket(source, SOURCES)
+    meta[from_] = 1
+    meta[SOURCES + 1 + from_] = size / 4
+    meta[2 * SOURCES + 2 + _bucket(lang, LANGUAGES)] = 1
+    meta[-LENGTHS - 1 + (LENGTHS - 1 if n_chars is None else min(LENGTHS - 2, max(0, n_chars).bit_length() // 2))] = 1
+    meta[-1] = size / 4
     return content, meta
 
 
+META = 2 * SOURCES + 2 + LANGUAGES + 1 + LENGTHS + 1
 _KIND = np.full(256, 5)  # other bytes
 _KIND[65:91], _KIND[97:123], _KIND[48:58] = 0, 1, 2
 _KIND[[i for i in range(33, 127) if not chr(i).isalnum()]] = 3
@@ -221,7 +228,7 @@ def cotrain(labelled: Features, good: np.ndarray, pool: Features | Pool, rounds:
     weights, history, added = [logistic(x, good) for x in own], [], np.zeros((2, 2))  # added: by view and class
     for _ in range(rounds if len(pool) else 0):
         counts = pool.total(scaled, partial(tally, history=history, weights=weights)).reshape(2, 2, BINS)
-        cuts = [[_cut(counts[v, c], round(growth * (share if c else 1 - share))) for c in (0, 1)] for v in (0, 1)]
+        cuts = [[max(LEAST, _cut(counts[v, c], round(growth * (share if c else 1 - share)))) for c in (0, 1)] for v in (0, 1)]
         for v in (0, 1):
             added[1 - v] += [counts[v, c, cuts[v][c] :].sum() for c in (0, 1)]
         history = [*history, (weights, cuts)]
@@ -251,7 +258,7 @@ def _cut(counts: np.ndarray, wanted: int) -> int:
     return max(0, BINS - 1 - int(np.searchsorted(np.cumsum(counts[::-1]), wanted)))
 
 
-SIZES = (CONTENT + 1, SOURCES + LANGUAGES + 2 + STATISTICS)
+SIZES = (CONTENT + STATISTICS, META)
 FEATURES = "doc_id string, label int, content binary, meta binary"
 
 
@@ -292,8 +299,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     kind, model = dict(docs.dtypes)["doc_id"], train(docs, labels)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1000):
             own, out = held.value, [np.full(len(batch), 0.5)] * 3
             if own and len(batch):
                 both = [views(t, s, g, n) for t, s, g, n in zip(*(batch.column(i).to_pylist() for i in (4, 1, 2, 3)), strict=True)]
