@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -15,12 +15,14 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     so chains halve. Rounds start from a written table.
     """
     edges = stored(links.select("a", "b").union(links.select("b", "a")).toDF("id", "other").distinct(), f"{label}-edges")
-    labels = stored(edges.groupBy("id").agg(F.least("id", F.min("other")).alias("component")), label)
+    labels = held = stored(edges.groupBy("id").agg(F.least("id", F.min("other")).alias("component")), label)
     while True:
         near = edges.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("near"))
         nearer = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("now"))
         jump = labels.select(F.col("id").alias("now"), F.col("component").alias("next"))
         new = stored(nearer.join(jump, "now", "left").select("id", "was", F.least("now", F.coalesce("next", "now")).alias("component")), label)
-        labels = new.select("id", "component")
+        discard(held)
+        labels, held = new.select("id", "component"), new
         if not new.where("component <> was").limit(1).count():
+            discard(edges)
             return labels

@@ -297,22 +297,30 @@ def store_media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
+def _read_back(m: bytes | None) -> tuple:
+    """The columns of a row's media; of bytes that aren't whole baseline JPEG pictures only their size and digest."""
+    if m is None:
+        return (None,) * 9
+    stored = len(m), hashlib.sha256(m).hexdigest()
+    try:
+        parsed = list(frames(m))
+        thumbs = [luminance(f) for f in parsed]
+        width, height = parsed[0]["width"], sum(f["height"] for f in parsed)
+    except (ValueError, IndexError, KeyError, TypeError, struct.error):
+        return None, None, None, *stored, None, None, None, None
+    payload = b"".join(t.tobytes() for t in thumbs)
+    marks = ":".join(f"{thumbnail_hash(t):016x}" for t in thumbs)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *stored, f"jpeg {width}x{height} {marks}", width, height, len(parsed)
+
+
 def media_columns(media: DataFrame) -> DataFrame:
-    """For rows of doc_id, n_bytes and media: dimensions, thumbnail hash and digests of what is read back."""
+    """For rows of doc_id, n_bytes and media: dimensions, thumbnail hash and digests of what is read back. Null or damaged media and other formats have nulls there."""
     kind = dict(media.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, pictures int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for m in batch.column(2):
-                m = m.as_py()
-                parsed = list(frames(m))
-                thumbs = [luminance(f) for f in parsed]
-                payload = b"".join(t.tobytes() for t in thumbs)
-                marks = ":".join(f"{thumbnail_hash(t):016x}" for t in thumbs)
-                width, height = parsed[0]["width"], sum(f["height"] for f in parsed)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), f"jpeg {width}x{height} {marks}", width, height, len(parsed)))
+            rows = [_read_back(m.as_py()) for m in batch.column(2)]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[x.split()[0] for x in schema.split(", ")])

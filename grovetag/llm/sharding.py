@@ -8,9 +8,9 @@ records in the buckets before it, and record g goes to place g // shards of
 shard g % shards, so the shards' row counts differ by one at most (law `rows`). Places follow from the seed
 and the records alone: tasks that run again and other partitionings give the same.
 
-Rows that are equal in doc_id and text share their bucket; where a bucket so grows to over
-SPLIT times its size, its records are dealt again by their place in the input as well (then only equal rows can
-swap places if the input is partitioned otherwise).
+Rows that are equal in doc_id and text share their bucket; where a bucket grows to over SPLIT times
+its size, equal rows that fill a bucket by themselves are dealt over as many buckets as they fill, by their place in the
+input (only then do places depend on how the input is partitioned).
 
 Cases: a null text counts no bytes and stays null; repeated rows are separate
 records; an empty table gives no rows; further columns travel in `record`, whatever their names, but columns of the names shard
@@ -46,10 +46,14 @@ def shuffled_records(docs: DataFrame, shards: int = 16, seed: int = 17, bucket_b
         _text_bytes().alias("size"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("record"),
     )
     counted = stored(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "shard-buckets")
-    hot = counted.where((F.col("size") > SPLIT * bucket_bytes) & (F.col("n") > 1)).select("bucket", F.ceil(F.col("size") / bucket_bytes).alias("pieces"))
-    if hot.limit(1).count():
-        again = F.xxhash64(F.lit(seed), "order", F.monotonically_increasing_id())
-        dealt = dealt.withColumn("again", again).join(hot, "bucket", "left").withColumn("bucket", F.col("bucket") + F.coalesce(buckets * F.pmod("again", "pieces"), F.lit(0))).drop("again", "pieces")
+    full = counted.where((F.col("size") > SPLIT * bucket_bytes) & (F.col("n") > 1)).select("bucket")
+    if full.limit(1).count():
+        # of the buckets that are too full, the rows that are equal in doc_id and text and fill a bucket by themselves
+        equal = dealt.select("bucket", "order", "size").join(full, "bucket", "left_semi").groupBy("order").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+        hot = stored(equal.where((F.col("n") > 1) & (F.col("size") > bucket_bytes)).select("order", F.ceil(F.col("size") / bucket_bytes).alias("pieces")), "shard-hot")
+        again = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(1 << 62))
+        dealt = dealt.withColumn("again", again).join(hot, "order", "left").withColumn("bucket", F.pmod(F.col("bucket") + F.coalesce(F.pmod("again", "pieces"), F.lit(0)), F.lit(buckets))).drop("again", "pieces")
+        dealt = stored(dealt, "shard-dealt")  # a place in the input may be another when it is read again
         counted = stored(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "shard-buckets")
     # one row for each bucket; a task gets the same buckets in the same order in any run, so the seeded shuffles are the same
     tasks = -(-buckets // BUCKETS_A_TASK)

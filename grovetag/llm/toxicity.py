@@ -307,10 +307,10 @@ def training_bags(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
             own = [sorted(document_units(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "toxic", "units"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), batch.column(3), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "toxic", "name", "units"])
 
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(chosen, "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id string, toxic boolean, units array<string>").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending")]).combine_chunks()
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(chosen, "doc_id").select("doc_id", "toxic", "text", F.xxhash64("text").alias("name")).mapInArrow(run, "doc_id string, toxic boolean, name long, units array<string>").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("name", "ascending")]).combine_chunks()
     if not len(rows):
         return Bags(np.empty(0, bool), np.zeros(1, np.int64), np.empty(0, np.int64), [])
     lists = rows.column("units").combine_chunks()

@@ -156,6 +156,17 @@ def test_warc_files(spark, tmp_path):
         assert ("warc-refers-to" in h) == (h["warc-type"] == "revisit")
 
 
+def test_warc_rolls_over_by_bytes_and_hot_digests(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ROW_BYTES", 2000)
+    monkeypatch.setattr(warc, "HOT", 3)
+    rows = [(i, "u", "same page" if i % 2 else f"page {i} " * 50) for i in range(200)]
+    warc.write_archive(warc.crawl_records(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)), str(tmp_path / "crawl"))
+    assert len(list((tmp_path / "crawl").glob("part-*"))) > 4
+    warc.deduplicate(spark, str(tmp_path / "crawl"), str(tmp_path / "fresh"))
+    got = {r["page_id"]: r["refers_to"] for r in warc.resolved(spark, str(tmp_path / "fresh")).collect()}
+    assert got == {i: 199 if i % 2 and i != 199 else None for i in range(200)}
+
+
 def test_warc_damage():
     whole = warc.record({"record_type": "response", "record_id": "r", "date": "d", "uri": "u", "payload_digest": "x", "payload_bytes": 1, "payload": b"1", "page_id": None, "refers_to": None}) + b"\r\n\r\n"
     assert len(list(warc.records(whole * 3))) == 3
@@ -253,6 +264,15 @@ def test_media(spark):
     assert jpeg.media_columns(jpeg.store_media(empty(spark))).count() == 0
 
 
+def test_damaged_media(spark):
+    good = jpeg.encode(bytes(range(64)))
+    rows = [(1, 64, good), (2, 64, good[:40]), (3, 0, b""), (4, 9, b"not a jpeg"), (5, None, None), (6, 64, good.replace(b"\xff\xc0", b"\xff\xc2"))]
+    got = {r["doc_id"]: r for r in jpeg.media_columns(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert len(got) == 6 and got[1]["payload_bytes"] == 64
+    assert all(got[i]["payload_bytes"] is None and got[i]["feature"] is None for i in range(2, 7))
+    assert got[4]["media_bytes"] == 10 and got[5]["media_bytes"] is None
+
+
 # ---- n-gram join
 
 

@@ -79,6 +79,38 @@ def test_kernel_is_a_kernel():
     assert np.allclose(model.margins(names), k[:, 0])
 
 
+def test_accepted_keeps_columns(spark, labelled):
+    docs, labels = labelled
+    clash = docs.selectExpr("*", "1 as score", "2 as predicted", "true as held_out", "map('a', 1) as record")
+    got = toxicity.accepted(clash, labels)
+    assert got.columns == clash.columns
+    want = {r["doc_id"] for r in toxicity.score(docs, labels).where("predicted = 0").collect()}
+    assert {r["doc_id"] for r in got.collect()} == want
+
+
+def test_features_by_subsequences_enumerated():
+    """The kernel of two units, by all triples of places."""
+
+    def vector(unit):
+        text, out = f"^{unit}$", Counter()
+        for i in range(len(text)):
+            for j in range(i + 1, len(text)):
+                for k in range(j + 1, len(text)):
+                    if k - i < toxicity.SPAN:
+                        out[text[i] + text[j] + text[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    def norm(n):  # of a unit whose subsequences all differ
+        return sum(v * v for v in vector("".join(chr(200 + i) for i in range(n))).values()) ** 0.5
+
+    names = ["idiot", "id1iot", "abcabc", "z", "moron"]
+    got = toxicity.kernel(names, names)
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            x, y = vector(a), vector(b)
+            assert got[i, j] == pytest.approx(sum(x[s] * y[s] for s in x) / norm(len(a)) / norm(len(b)), abs=1e-9)
+
+
 def test_quality(spark, labelled):
     docs, labels = labelled
     got = {r["doc_id"]: r for r in quality.score(docs, labels).collect()}

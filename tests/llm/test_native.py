@@ -76,6 +76,27 @@ def test_shards_are_the_same_again(spark):
     assert len(one[0]) == 4
 
 
+def test_shards_do_not_depend_on_layout(spark):
+    docs = documents(spark)
+    rows = lambda d: Counter(map(tuple, sharding.shuffled_records(d, bucket_bytes=5000).select("doc_id", "text", "bucket__", "shard", "slot").collect()))
+    want = rows(docs)
+    assert rows(docs.repartition(7)) == want and rows(docs.coalesce(1)) == want
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert rows(docs) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r[2] for r in want} == {3}
+
+
+def test_equal_rows_are_spread(spark):
+    docs = spark.createDataFrame([(None, "x" * 50, {"a": i % 2}, 9) for i in range(300)] + [(i, f"y{i}", None, 9) for i in range(20)], "doc_id long, text string, m map<string,int>, slot int")
+    got = sharding.shuffled_records(docs, shards=4, bucket_bytes=500).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, i) for s in range(4) for i in range(80)]
+    assert sum(r["text"] == "x" * 50 for r in got) == 300
+
+
 def test_written_shards(spark, tmp_path):
     docs = documents(spark)
     sharding.write_shards(docs, str(tmp_path / "out"), shards=3)
@@ -89,6 +110,25 @@ def test_targets():
     assert all(got[s] <= 2 * n for s, n in {"a": 100, "b": 100, None: 0, "c": 1}.items())
 
 
+def test_targets_by_bisection():
+    """The unit at which all sources together take the budget, found without dealing shares again."""
+    sizes = {"b": 50, "a": 1000, None: 7, "é": 300, "c": 0, "z": 12}
+    order = sorted(s for s in sizes if s is not None) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    low, high, budget = 0.0, 1e6, 1.5 * sum(sizes.values())
+    for _ in range(200):
+        unit = (low + high) / 2
+        low, high = (unit, high) if sum(min(2 * n, unit * weight[s]) for s, n in sizes.items()) < budget else (low, unit)
+    got = mixing.targets(sizes)
+    assert got == pytest.approx({s: min(2 * n, low * weight[s]) for s, n in sizes.items()})
+
+
+def test_mix_takes_the_last_hash(spark):
+    rows = [(5507, "one two three four", "a"), (1, "w w w", "b")] + [(i, "v", f"s{i}") for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 3002 and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+
+
 def test_mix(spark):
     docs = documents(spark, n=400)
     got = mixing.mix(docs).collect()
