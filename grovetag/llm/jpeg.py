@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_or_empty
+from .common import slices, text_or_empty, tidy
 
 #: Blocks in a row of a stored picture, and rows of blocks of the largest one (16-bit heights).
 ACROSS = 64
@@ -286,13 +286,12 @@ def store_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: the text's bytes, padded with zeros to a positive multiple of 64, as pictures."""
     kind = dict(docs.dtypes)["doc_id"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 500):
             raw = [t.encode() for t in batch.column(1).to_pylist()]
-            for i in range(0, len(raw), 1000):
-                part = raw[i : i + 1000]
-                media = [encode(b.ljust(max(ACROSS, -(-len(b) // ACROSS) * ACROSS), b"\0")) for b in part]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), pa.array([len(b) for b in part], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            media = [encode(b.ljust(max(ACROSS, -(-len(b) // ACROSS) * ACROSS), b"\0")) for b in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
@@ -318,6 +317,7 @@ def media_columns(media: DataFrame) -> DataFrame:
     kind = dict(media.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, pictures int"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_read_back(m.as_py()) for m in batch.column(2)]
