@@ -1,9 +1,10 @@
+import json
 import random
 
 import pytest
 from grovetag.config import INSTANCES
 from grovetag.functions import analysis, distance
-from grovetag.operators import forests, matching, retrieval, scoring, search, store
+from grovetag.operators import forests, matching, requests, retrieval, scoring, search, store
 from grovetag.sources import stores
 from grovetag.sources.cache import ResultCache, request_key
 from grovetag.streaming import tokens
@@ -193,3 +194,25 @@ def test_random_queries_have_a_reading_or_none(spark, entities):
     records = store.build_store(entities)
     got = search.read_queries(spark.createDataFrame(queries, "query_id long, query string"), records, store.postings(records), INSTANCES["default"])
     assert got.where("norm_score is null or size(members) = 0").count() == 0
+
+
+def test_requests(spark):
+    bodies = [
+        json.dumps(requests.request(" cold widget ", count=3, section="news")), '{"text": "a", "q": " b "}', '{"query": "a", "sort": "x"}', '{"query": "a", "instance": "other"}',
+        '{"query": "a", "c": "-1"}', "[1]", None, '{"query": "a", "colour": "red"}', "{}",
+    ]
+    got = requests.parsed(spark.createDataFrame(list(enumerate(bodies)), "id int, body string")).orderBy("id").collect()
+    assert [(r["query"], r["count"], r["page"], r["section"]) for r in got[:2]] == [("cold widget", 3, 0, "news"), ("b", 10, 0, None)]
+    assert [r["error"] for r in got] == [None, None, "sort and filter are not offered", "unknown instance", "not a number", "not an object", "not an object", "unknown field", None]
+    with pytest.raises(ValueError):
+        requests.request("a", colour="red")
+
+
+def test_responses(spark):
+    asked = spark.createDataFrame([(1, "a", 2, 0, None), (2, "b", 1, 1, None), (3, "c", 5, 0, "news")], "query_id long, query string, count int, page int, section string")
+    ranked = spark.createDataFrame([(q, s, r, "t", f"d{r}", 1.0) for q in (1, 2) for s in ("news", "new_item") for r in (1, 2, 3)], "query_id long, section string, rank int, doc_type string, doc_id string, score double")
+    totals = ranked.groupBy("query_id", "section").agg(F.count(F.lit(1)).alias("total_results"))
+    got = {r["query_id"]: r for r in requests.responses(asked, requests.page_of(ranked, asked), totals, INSTANCES["default"]).collect()}
+    assert [(got[q]["count"], got[q]["total_results"]) for q in (1, 2, 3)] == [(4, 6), (2, 6), (0, 0)]
+    assert [s["name"] for s in got[1]["results"]] == ["new_item", "news"] and got[3]["results"] is None
+    assert [x["doc_id"] for x in got[2]["results"][0]["results"]] == ["d2"]
