@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import forests, matching, requests, retrieval, scoring, search, store
+from ..functions import analysis
+from ..operators import forests, intents, matching, requests, retrieval, scoring, search, store
 from ..sources.stores import written
 from . import inputs
-from .inputs import INSTANCE, SQL_ENTITIES, SQL_POSTINGS, SQL_QUERIES, SQL_RETRIEVAL
+from .inputs import INSTANCE, SQL_ENTITIES, SQL_POSTINGS, SQL_QUERIES, SQL_RETRIEVAL, sql_words, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -322,3 +323,54 @@ def best_forest(spark, sf):
     SELECT DISTINCT query_id, s AS segments FROM j WHERE list_max([len(string_split(r, '+')) FOR r IN string_split(s, '|')]) <= 3""")
 def segmentations(spark, sf):
     return scoring.segmentations(retrieval.tokenised_queries(inputs.queries_table(spark)))
+
+
+# ---- intents: all distinct texts of the parts are queries
+
+
+_SQL_ASKED = f"""asked AS (SELECT min(p_partkey) AS query_id, concat_ws(' ', p_brand, p_name, p_type) AS query FROM part GROUP BY query),
+    aq AS (SELECT query_id, {sql_words("query")} AS tokens FROM asked),
+    sug AS (SELECT key, name AS class, CAST(count(*) AS DOUBLE) AS weight FROM emit WHERE tag_type IN ('Intent', 'NGram') GROUP BY ALL),
+    len3 AS (SELECT query_id, tokens, unnest([1, 2, 3]) AS n FROM aq WHERE len(tokens) BETWEEN 1 AND 7),
+    spans AS (SELECT query_id, tokens, n, unnest(range(1, len(tokens) - n + 2)) AS start FROM len3),
+    gr AS (SELECT query_id, start, n, class, weight FROM (SELECT *, array_to_string(tokens[start:start + n - 1], '/') AS key FROM spans) JOIN sug USING (key)),
+    opt AS (SELECT s.query_id, s.start, class, weight FROM (SELECT * FROM spans WHERE n = 1) s LEFT JOIN (SELECT * FROM gr WHERE n = 1) g ON g.query_id = s.query_id AND g.start = s.start),
+    walk AS (SELECT query_id, 0 AS upto, []::VARCHAR[] AS path FROM aq WHERE len(tokens) BETWEEN 1 AND 7
+      UNION ALL SELECT w.query_id, w.upto + 1, list_append(w.path, coalesce(o.class, '-')) FROM walk w JOIN opt o ON o.query_id = w.query_id AND o.start = w.upto + 1),
+    rdg AS (SELECT w.query_id, path FROM walk w JOIN aq ON aq.query_id = w.query_id AND w.upto = len(tokens))"""
+
+
+def _asked(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """All distinct texts of the parts as queries, and as suggestions how many entities of a class have a key."""
+    text = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("query"))
+    asked = text.groupBy("query").agg(F.min("p_partkey").alias("query_id")).select("query_id", analysis.words(F.col("query")).alias("tokens"))
+    known = _emitted(spark, sf).where("tag_type in ('Intent', 'NGram')").groupBy("key", F.col("name").alias("class")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return written(asked, "asked"), written(known, "suggestions")
+
+
+@_query(f"WITH RECURSIVE {SQL_ENTITIES}, {_SQL_ASKED} SELECT query_id, array_to_string(path, ' ') AS tags FROM rdg")
+def intent_paths(spark, sf):
+    """Paths of one-token members whose tags are the classes that the store suggests for the token."""
+    asked, known = _asked(spark, sf)
+    tokens = asked.select("query_id", F.posexplode("tokens").alias("place", "key")).join(known, "key", "left")
+    member = F.struct(F.filter(F.collect_list("class"), lambda c: c.isNotNull()).alias("tags"))
+    members = tokens.groupBy("query_id", "place").agg(member.alias("m")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "m"))).alias("s"))
+    forest = members.select("query_id", F.lit(0).alias("forest_id"), F.col("s.m").alias("members"))
+    return intents.intent_paths(forest).select("query_id", F.array_join(F.transform("tags", lambda t: F.coalesce(t, F.lit("-"))), " ").alias("tags"))
+
+
+@_query(f"""WITH RECURSIVE {SQL_ENTITIES}, {_SQL_ASKED},
+    pick AS (SELECT r.query_id, r.path, o.start, o.class, o.weight FROM rdg r JOIN opt o ON o.query_id = r.query_id AND o.class = r.path[o.start]),
+    isl AS (SELECT *, start - row_number() OVER (PARTITION BY query_id, path, class ORDER BY start) AS island FROM pick),
+    grp AS (SELECT query_id, path, class, island, min(start) AS first, max(start) AS last, sum(weight) AS base FROM isl GROUP BY ALL),
+    ext AS (SELECT g.query_id, g.path, g.first, sum(5 * base + b.weight - (SELECT sum(p.weight) FROM pick p WHERE p.query_id = g.query_id AND p.path = g.path AND p.start BETWEEN b.start AND b.start + b.n - 1)) AS extra
+      FROM grp g JOIN gr b ON b.n > 1 AND b.query_id = g.query_id AND b.class = g.class AND b.start >= g.first AND b.start + b.n - 1 <= g.last GROUP BY ALL),
+    num AS (SELECT g.*, (g.last - g.first + 1) * (g.base + coalesce(extra, 0)) AS weight, row_number() OVER (PARTITION BY g.query_id, g.path ORDER BY g.first) AS k FROM grp g LEFT JOIN ext e ON e.query_id = g.query_id AND e.path = g.path AND e.first = g.first),
+    aba AS (SELECT a.query_id, a.path, a.k FROM num a JOIN num b ON b.query_id = a.query_id AND b.path = a.path AND b.k = a.k + 1 JOIN num c ON c.query_id = a.query_id AND c.path = a.path AND c.k = a.k + 2 WHERE a.class = c.class AND a.class <> b.class),
+    sc AS (SELECT query_id, path, sum(weight * pow(0.5, (SELECT count(*) FROM aba WHERE aba.query_id = num.query_id AND aba.path = num.path AND num.k BETWEEN aba.k AND aba.k + 2))) AS score FROM num GROUP BY ALL),
+    al AS (SELECT r.query_id, r.path, coalesce(score, 0) AS score FROM rdg r LEFT JOIN sc ON sc.query_id = r.query_id AND sc.path = r.path),
+    nm AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM al), ex AS (SELECT *, CASE WHEN top > 0 THEN exp(10.0 * score / top) END AS part FROM nm)
+    SELECT query_id, array_to_string(path, ' ') AS classes, score, round(norm, 9) AS norm_score FROM (SELECT *, coalesce(part / sum(part) OVER (PARTITION BY query_id), score) AS norm FROM ex) WHERE norm >= 0.25""")
+def intent_ranking(spark, sf):
+    """Readings of the parts' texts by classes, with at least a quarter of the weight."""
+    return intents.ranked(*_asked(spark, sf)).select("query_id", "classes", "score", F.round("norm_score", 9).alias("norm_score"))
