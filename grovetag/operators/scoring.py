@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: The weight of each kind of match in a field.
 FIELD_WEIGHTS = {"exact": 100.0, "shingle": 50.0, "edge": 20.0, "synonym": 80.0, "phonetic": 5.0}
 MOST_CLAUSES = 1024
+#: Fixed value: a main query has fewer tokens than this.
+TOKENS_BOUND = 8
 
 
 # ---- clauses; a clause is a score column, null where it doesn't match
@@ -61,16 +63,16 @@ def least_by_length(n: Column) -> Column:
     return F.when(n <= 2, 1).when(n <= 4, 2).otherwise(3)
 
 
-def summed(matches: DataFrame, least: int | Column = 1) -> DataFrame:
+def summed(matches: DataFrame, least: int | Column = 1, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Documents with enough matches, and the sum of their scores."""
-    out = matches.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("matched"))
+    out = matches.groupBy(*keys, "doc_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("matched"))
     return out.where(F.col("matched") >= least)
 
 
-def smart_min_match(matches: DataFrame) -> DataFrame:
+def smart_min_match(matches: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Documents that match as many clauses as the best document of the query does."""
-    every = summed(matches)
-    return every.withColumn("most", F.max("matched").over(Window.partitionBy("query_id"))).where("matched = most").drop("most")
+    every = summed(matches, keys=keys)
+    return every.withColumn("most", F.max("matched").over(Window.partitionBy(*keys))).where("matched = most").drop("most")
 
 
 def field_score(tokens: Column, analysed: dict[str, Column], boost: float = 1.0, enabled: tuple[str, ...] = ("exact", "shingle", "edge", "synonym", "phonetic")) -> Column:
@@ -121,11 +123,25 @@ def segmentations(queries: DataFrame, longest: int = 3) -> DataFrame:
     """(query_id, segments): all ways to cut the tokens into runs of at most `longest`, each once."""
     n = F.size("tokens")
     masks = queries.select("query_id", "tokens", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2.0), n - 1).cast("int") - 1)).alias("mask"))
-    cut = lambda i: F.expr(f"shiftright(mask, {i}) & 1") == 1
-    joined = F.element_at("tokens", 1)
-    for i in range(7):
-        after = F.when(cut(i), F.lit("|")).otherwise(F.lit("+"))
-        joined = F.when(n > i + 1, F.concat(joined, after, F.get(F.col("tokens"), F.lit(i + 1)))).otherwise(joined)
+    pieces = F.expr("transform(tokens, (t, i) -> concat(case when i = 0 then '' when (shiftright(mask, i - 1) & 1) = 1 then '|' else '+' end, t))")
+    joined = F.array_join(pieces, "")
     out = masks.withColumn("runs", F.split(joined, r"\|"))
     out = out.where(F.forall("runs", lambda r: F.size(F.split(r, r"\+")) <= longest))
     return out.select("query_id", F.array_join("runs", "|").alias("segments")).distinct()
+
+
+def main_query(queries: DataFrame, postings: DataFrame, longest: int = 3) -> DataFrame:
+    """(query_id, doc_id, score): documents by all ways to cut the tokens into runs of at most `longest`.
+
+    A run matches a document that has all of its tokens, with one point a token. Of each segmentation the documents with
+    the most matching runs count, and a document's score is the sum over segmentations (a dis-max with tie 1). queries:
+    query_id (unique), tokens, those with TOKENS_BOUND tokens or more have no result; postings: doc_id, token, each pair once.
+    Each distinct run meets the postings once, however many segmentations and queries it is part of.
+    """
+    cut = segmentations(queries.where(F.size("tokens").between(1, TOKENS_BOUND - 1)), longest)
+    runs = cut.select("query_id", "segments", F.explode(F.split("segments", r"\|")).alias("run"))
+    known = runs.select("run").distinct().select("run", F.array_distinct(F.split("run", r"\+")).alias("tokens"))
+    asked = known.select("run", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    found = asked.join(postings, "token").groupBy("run", "doc_id").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n")).where("found = n").select("run", "doc_id")
+    hits = runs.join(found, "run").select("query_id", "segments", "doc_id", F.size(F.split("run", r"\+")).cast("double").alias("score"))
+    return smart_min_match(hits, ("query_id", "segments")).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))

@@ -163,25 +163,22 @@ def multi_field_score(spark, sf):
     return parts.select("doc_id", scoring.dis_max(F.col("a"), F.col("b"), tie=1.0).alias("score"))
 
 
-_RUNS = """runs AS (SELECT query_id, seg, string_split(seg, '|') AS r FROM (SELECT query_id, unnest(list_concat([array_to_string(tokens, '+')], CASE WHEN len(tokens) > 1 THEN [array_to_string(tokens, '|')] ELSE [] END)) AS seg FROM w))"""
+_MAIN_WORDS = _WORDS + [(100, "cold hot cold widget"), (101, "a b c d e f g h"), (102, "red gear economy brand 13 small bolt")]
 
 
-@_query(f"""WITH {_SQL_MATCHES}, {_RUNS}, x AS (SELECT query_id, seg, string_split(unnest(r), '+') AS run FROM runs),
-    doc AS (SELECT doc_id, list_concat(brand, model, variant) AS t FROM p), h AS (SELECT query_id, seg, doc_id, count(*) AS matched, CAST(sum(len(run)) AS DOUBLE) AS score FROM x, doc WHERE list_has_all(t, run) GROUP BY ALL),
+@_query(f"""WITH {_SQL_PARTS}, w AS (SELECT query_id, string_split(words, ' ') AS tokens FROM {inputs.sql_values(_MAIN_WORDS)} AS v(query_id, words)),
+    m AS (SELECT query_id, tokens, unnest(range(0, CAST(pow(2, len(tokens) - 1) AS BIGINT))) AS mask FROM w WHERE len(tokens) < 8),
+    j AS (SELECT query_id, list_reduce(list_concat([tokens[1]], [CASE WHEN (mask >> (i - 2)) & 1 = 1 THEN '|' ELSE '+' END || tokens[i] FOR i IN range(2, len(tokens) + 1)]), lambda a, x: a || x) AS seg FROM m),
+    runs AS (SELECT DISTINCT query_id, seg, string_split(seg, '|') AS r FROM j WHERE list_max([len(string_split(r, '+')) FOR r IN string_split(seg, '|')]) <= 3),
+    x AS (SELECT query_id, seg, string_split(unnest(r), '+') AS run FROM runs), doc AS (SELECT doc_id, list_concat(brand, model, variant) AS t FROM p),
+    h AS (SELECT query_id, seg, doc_id, count(*) AS matched, CAST(sum(len(run)) AS DOUBLE) AS score FROM x, doc WHERE list_has_all(t, run) GROUP BY ALL),
     best AS (SELECT *, max(matched) OVER (PARTITION BY query_id, seg) AS most FROM h)
-    SELECT query_id, doc_id, max(score) AS score FROM best WHERE matched = most GROUP BY query_id, doc_id""")
+    SELECT query_id, doc_id, sum(score) AS score FROM best WHERE matched = most GROUP BY query_id, doc_id""")
 def main_query(spark, sf):
-    """Per segmentation the documents that match most runs; the best segmentation counts."""
-    words = spark.createDataFrame(_WORDS, "query_id long, words string").select("query_id", F.split("words", " ").alias("tokens"))
-    whole = F.array(F.array_join("tokens", "+"))
-    segs = words.select("query_id", F.explode(F.when(F.size("tokens") > 1, F.concat(whole, F.array(F.array_join("tokens", "|")))).otherwise(whole)).alias("seg"))
-    runs = segs.select("query_id", "seg", F.posexplode(F.split("seg", r"\|")).alias("run", "text")).select("query_id", "seg", "run", F.split("text", r"\+").alias("tokens"))
-    asked = runs.select("query_id", "seg", "run", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    """The engine's main query over all segmentations; with a repeated token, a query that is too long and one of seven tokens."""
+    words = spark.createDataFrame(_MAIN_WORDS, "query_id long, words string").select("query_id", F.split("words", " ").alias("tokens"))
     have = _parts(spark, sf).select("doc_id", F.explode(F.array_distinct(F.concat("brand", "model", "variant"))).alias("token"))
-    hits = asked.join(have, "token").groupBy("query_id", "seg", "run", "doc_id").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n")).where("found = n")
-    hits = hits.select(F.concat_ws("\t", F.col("query_id").cast("string"), "seg").alias("query_id"), "doc_id", F.col("n").cast("double").alias("score"))
-    best = scoring.smart_min_match(hits).select(F.split_part("query_id", F.lit("\t"), F.lit(1)).cast("long").alias("query_id"), "doc_id", "score")
-    return best.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    return scoring.main_query(words, have)
 
 
 _BOOSTS = [("name", None), ("brand", 5.0), ("model", None), ("city", 2.0), ("note", None)]
@@ -209,6 +206,7 @@ cat AS (
   SELECT p_brand AS doc_id, 'new_brand' AS doc_type, p_brand AS brand, '' AS model, '' AS variant, '' AS place, 0 AS model_status FROM (SELECT DISTINCT p_brand FROM part)
   UNION ALL SELECT p_brand || '/' || p_type, 'new_model', p_brand, p_type, '', '', min(p_size) % 3 FROM part GROUP BY p_brand, p_type
   UNION ALL SELECT p_brand || '/' || p_type || '/' || p_name, 'new_variant', p_brand, p_type, p_name, '', min(p_size) % 3 FROM part GROUP BY p_brand, p_type, p_name
+  UNION ALL SELECT p_brand || '/' || p_type || '/price', 'new_model_page', '', '', '', '', 0 FROM part GROUP BY p_brand, p_type
   UNION ALL SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey, 'used_item', p_brand, p_type, p_name, r_name, 0 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN sup ON l_suppkey = s_suppkey
   UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'news', p_brand, p_type, p_name, '', 0 FROM part
   UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'dealer', coalesce(p_brand, ''), '', '', r_name, 0 FROM sup LEFT JOIN part ON s_suppkey = p_partkey),
@@ -283,9 +281,9 @@ def paged_search(spark, sf):
     return search.paged(_section_scores(spark, sf), INSTANCE, count=5, page=1).select("query_id", "section", "rank", "doc_id")
 
 
-@_query(f"""WITH {_SQL_CATALOGUE} SELECT doc_id, doc_type, CAST(row_number() OVER (ORDER BY CASE doc_type WHEN 'new_brand' THEN 1 WHEN 'new_model' THEN 2 ELSE 3 END, model_status, doc_type, doc_id) AS INTEGER) AS place FROM cat WHERE doc_type LIKE 'new%'""")
+@_query(f"""WITH {_SQL_CATALOGUE} SELECT doc_id, doc_type, CAST(row_number() OVER (ORDER BY CASE doc_type WHEN 'new_model_page' THEN 0 WHEN 'new_brand' THEN 1 WHEN 'new_model' THEN 2 ELSE 3 END, model_status, doc_type, doc_id) AS INTEGER) AS place FROM cat WHERE doc_type LIKE 'new%'""")
 def type_rank_sort(spark, sf):
-    rows = inputs.catalogue(spark, sf).where("doc_type like 'new%' and doc_type <> 'new_model_page'")
+    rows = inputs.catalogue(spark, sf).where("doc_type like 'new%'")
     order = (search.type_rank(F.col("doc_type"), INSTANCE), "model_status", "doc_type", "doc_id")
     return search.numbered(rows, *order).select("doc_id", "doc_type", F.col("place").cast("int").alias("place"))
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from grovetag.config import INSTANCES
 from grovetag.functions import analysis, distance
-from grovetag.operators import forests, matching, requests, retrieval, scoring, search, store
+from grovetag.operators import forests, intents, matching, requests, retrieval, scoring, search, store
 from grovetag.sources import stores
 from grovetag.sources.cache import ResultCache, request_key
 from grovetag.streaming import tokens
@@ -167,6 +167,46 @@ def test_builders():
         scoring.should()
 
 
+def _suggested(spark, *rows):
+    return spark.createDataFrame(list(rows), "key string, class string, weight double")
+
+
+def test_intents_by_hand(spark):
+    queries = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "x", "c"]), (3, []), (4, ["a"] * 8), (5, ["x"]), (6, None)], "query_id long, tokens array<string>")
+    known = _suggested(spark, ("a", "P", 1.0), ("a", "Q", 1.0), ("b", "P", 2.0), ("a/b", "P", 3.0), ("c", "Q", 1.0))
+    found = {(r["query_id"], r["classes"]): r for r in intents.ranked(queries, known, least=0.0).collect()}
+    # one group of two: 2 * (3 + (4 * 3 + 3)), as the bigram takes the place of both; apart: 1 + 2
+    assert {k: r["score"] for k, r in found.items()} == {(1, "P P"): 36, (1, "Q P"): 3, (2, "P - Q"): 2, (2, "Q - Q"): 2, (5, "-"): 0}
+    assert found[2, "P - Q"]["norm_score"] == 0.5 and found[5, "-"]["norm_score"] == 0
+    assert {(r["query_id"], r["classes"]) for r in intents.ranked(queries, known).collect()} == {(1, "P P"), (2, "P - Q"), (2, "Q - Q")}
+
+
+def test_intents_interleaved(spark):
+    queries = spark.createDataFrame([(1, ["a", "b", "c", "d"])], "query_id long, tokens array<string>")
+    known = _suggested(spark, ("a", "P", 8.0), ("b", "Q", 8.0), ("c", "P", 8.0), ("d", "Q", 8.0))
+    (row,) = intents.ranked(queries, known).collect()
+    assert row["score"] == 4 + 2 + 2 + 4 and row["norm_score"] == 1
+    assert intents.ranked(queries, _suggested(spark)).count() == 0
+    assert intents.ranked(queries.limit(0), known).count() == 0
+
+
+def test_intent_paths(spark):
+    member = "struct<tags:array<struct<name:string>>>"
+    rows = [(1, 0, [([("p",), ("q",)],), ([],), ([("r",)],)]), (2, 0, [])]
+    forests_ = spark.createDataFrame(rows, f"query_id long, forest_id int, members array<{member}>")
+    found = sorted((r["query_id"], r["path"], [t and t["name"] for t in r["tags"]]) for r in intents.intent_paths(forests_).collect())
+    assert found == [(1, 0, ["p", None, "r"]), (1, 1, ["q", None, "r"]), (2, 0, [])]
+
+
+def test_main_query(spark):
+    queries = spark.createDataFrame([(1, ["a", "b"]), (2, ["z"]), (3, list("abcdefgh")), (4, [])], "query_id long, tokens array<string>")
+    postings = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "b")], "doc_id long, token string")
+    # a|b: document 1 alone matches both runs (2); a+b: document 1 alone (2)
+    assert [tuple(r) for r in scoring.main_query(queries, postings).collect()] == [(1, 1, 4.0)]
+    # runs of one token each: the one segmentation counts
+    assert [tuple(r) for r in scoring.main_query(queries, postings, longest=1).collect()] == [(1, 1, 2.0)]
+
+
 def test_conjuncts(spark):
     queries = spark.createDataFrame([(1, "a bb 12 cc"), (2, "5"), (3, "1 2 3 4 5 6 7 8 9")], "query_id long, query string")
     rows = retrieval.conjuncts(retrieval.tokenised_queries(queries)).collect()
