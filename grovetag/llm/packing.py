@@ -136,21 +136,22 @@ def tokenised(docs: DataFrame, vocabulary: str, segment: int = WINDOW) -> DataFr
     return docs.select("doc_id", "source", text_or_empty().alias("text")).mapInArrow(run, schema)
 
 
-def quanta(sizes: DataFrame, tokens: int, window: int = WINDOW, segment: int = WINDOW, weights: dict[str, float] | None = None) -> DataFrame:
+def quanta(sizes: DataFrame, tokens: int, window: int = WINDOW, segment: int = WINDOW, weights: dict[str | None, float] | None = None) -> DataFrame:
     """(source, quantum, phase) from (source, total): what a source's deficit grows by in a round, and what it starts with. Without weights the target is each source's share of all tokens, so that the queues end together."""
     if weights is None:
         share = F.col("total") / F.lit(float(max(1, tokens)))
     else:
         if not all(w > 0 for w in weights.values()):
             raise ValueError("weights must be positive")
-        given = F.create_map(*[x for s, w in weights.items() for x in (F.lit(s), F.lit(float(w)))]) if weights else None
-        weight = F.coalesce(given[F.col("source")], F.lit(1.0)) if weights else F.lit(1.0)
+        named = [x for s, w in weights.items() if s is not None for x in (F.lit(s), F.lit(float(w)))]
+        weight = F.coalesce(F.create_map(*named)[F.col("source")], F.lit(1.0)) if named else F.lit(1.0)
+        weight = F.when(F.col("source").isNull(), F.lit(float(weights.get(None, 1.0)))).otherwise(weight)
         sizes = sizes.withColumn("weight", weight)
         share = F.col("weight") / F.lit(float(sizes.agg(F.sum("weight")).first()[0] or 1))
     return sizes.select("source", (share * window).alias("quantum"), F.pmod(F.xxhash64("source"), F.least("total", F.lit(segment))).alias("phase"))
 
 
-def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, weights: dict[str, float] | None = None, segment: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, weights: dict[str | None, float] | None = None, segment: int | None = None) -> DataFrame:
     """One row per piece: doc_id, source, start, length, ids (uint16), doc_tokens, sequence_id, offset. weights: target proportions by source, those of the documents by default."""
     segment = segment or window
     tokens = stored(tokenised(docs, vocabulary or default_vocabulary(), segment), "pack-tokens")

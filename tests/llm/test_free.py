@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -73,6 +74,32 @@ def test_pack_is_deficit_round_robin(spark, tokenizer, monkeypatch, weights):
     assert got == want
 
 
+@pytest.mark.parametrize("weights", [None, {"a": 3.0, "b": 1.0, None: 0.5}])
+def test_pack_carries_deficits(spark, tokenizer, weights):
+    """As long as no queue is empty, after any window the sources are within a round and a segment of their target proportions."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), prose(rng, rng.choice([3, 200, 900, 4000]))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    total, sent, left = Counter(), Counter(), Counter()
+    pieces = packing.pack(docs.repartition(4), weights=weights).collect()
+    for r in pieces:
+        total[r["source"]] += r["length"]
+    left.update(total)
+    quantum = {s: 1024 * (weights[s] / sum(weights.values()) if weights else n / sum(total.values())) for s, n in total.items()}
+    windows = 0
+    for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+        sent[r["source"]] += r["length"]
+        left[r["source"]] -= r["length"]
+        if min(left.values()) < 1024:
+            break
+        turns = {s: sent[s] / q for s, q in quantum.items()}
+        for a in turns:
+            for b in turns:
+                assert abs(turns[a] - turns[b]) <= 1 + 1024 / quantum[a] + 1024 / quantum[b]
+        windows = r["sequence_id"]
+    assert windows > 20
+
+
 def test_pack_many_sources(spark, tokenizer):
     rows = [(i, f"s{i % 2000}", "some words of a short document " * 8) for i in range(2500)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
@@ -302,7 +329,6 @@ def brute(rows, k=4, percent=85):
 
 @pytest.mark.parametrize("frequent", [32, 2])
 def test_near_copies(spark, monkeypatch, frequent):
-    import random
 
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join.frequent_shingles, "__defaults__", (frequent, ngram_join.MOST_FREQUENT))
@@ -321,7 +347,6 @@ def test_near_copies(spark, monkeypatch, frequent):
 
 @pytest.mark.parametrize(("name_bits", "percent"), [(64, 85), (3, 85), (64, 60)])
 def test_near_copies_of_very_frequent_shingles(spark, monkeypatch, name_bits, percent):
-    import random
 
     monkeypatch.setattr(ngram_join, "VERY_FREQUENT", 4)
     monkeypatch.setattr(ngram_join, "NAME_BITS", name_bits)
