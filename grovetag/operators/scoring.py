@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stores import written
+
 #: The weight of each kind of match in a field.
 FIELD_WEIGHTS = {"exact": 100.0, "shingle": 50.0, "edge": 20.0, "synonym": 80.0, "phonetic": 5.0}
 MOST_CLAUSES = 1024
@@ -70,9 +72,11 @@ def summed(matches: DataFrame, least: int | Column = 1, keys: tuple[str, ...] =
 
 
 def smart_min_match(matches: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """Documents that match as many clauses as the best document of the query does."""
-    every = summed(matches, keys=keys)
-    return every.withColumn("most", F.max("matched").over(Window.partitionBy(*keys))).where("matched = most").drop("most")
+    """Documents that match as many clauses as the best document of the query does. A query's documents never meet in one task: its maximum is a row."""
+    every = written(summed(matches, keys=keys), "matched")
+    most = written(every.groupBy(*[F.col(k).alias(f"{k}__") for k in keys]).agg(F.max("matched").alias("most")), "most")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys]
+    return every.join(most, [*same, F.col("matched") == F.col("most")]).select(*every.columns)
 
 
 def field_score(tokens: Column, analysed: dict[str, Column], boost: float = 1.0, enabled: tuple[str, ...] = ("exact", "shingle", "edge", "synonym", "phonetic")) -> Column:
@@ -130,18 +134,33 @@ def segmentations(queries: DataFrame, longest: int = 3) -> DataFrame:
     return out.select("query_id", F.array_join("runs", "|").alias("segments")).distinct()
 
 
+def token_sets(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(doc_id, have): the tokens of a vocabulary that each document with one of them has, sorted. postings: doc_id, token."""
+    spark = postings.sparkSession
+    rows = postings.join(F.broadcast(vocabulary.select("token").distinct()), "token", "left_semi").select("doc_id", "token")
+    # all partitions are kept: few bytes can hold very many of these rows
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return rows.groupBy("doc_id").agg(F.sort_array(F.collect_set("token")).alias("have"))
+
+
 def main_query(queries: DataFrame, postings: DataFrame, longest: int = 3) -> DataFrame:
     """(query_id, doc_id, score): documents by all ways to cut the tokens into runs of at most `longest`.
 
     A run matches a document that has all of its tokens, with one point a token. Of each segmentation the documents with
     the most matching runs count, and a document's score is the sum over segmentations (a dis-max with tie 1). queries:
     query_id (unique), tokens, those with TOKENS_BOUND tokens or more have no result; postings: doc_id, token, each pair once.
-    Each distinct run meets the postings once, however many segmentations and queries it is part of.
+    Documents with the same tokens of the queries score alike, so runs and segmentations meet the distinct sets of
+    these tokens, each run once, and documents join the scores of their set last.
     """
     cut = segmentations(queries.where(F.size("tokens").between(1, TOKENS_BOUND - 1)), longest)
-    runs = cut.select("query_id", "segments", F.explode(F.split("segments", r"\|")).alias("run"))
+    runs = written(cut.select("query_id", "segments", F.explode(F.split("segments", r"\|")).alias("run")), "runs")
     known = runs.select("run").distinct().select("run", F.array_distinct(F.split("run", r"\+")).alias("tokens"))
-    asked = known.select("run", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    found = asked.join(postings, "token").groupBy("run", "doc_id").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n")).where("found = n").select("run", "doc_id")
+    asked = written(known.select("run", F.size("tokens").alias("n"), F.explode("tokens").alias("token")), "asked")
+    held = written(token_sets(postings, asked), "held")
+    sets = written(held.select("have").distinct().withColumn("set", F.monotonically_increasing_id()), "sets")
+    have = sets.select(F.col("set").alias("doc_id"), F.explode("have").alias("token"))
+    found = asked.join(have, "token").groupBy("run", "doc_id").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n")).where("found = n").select("run", "doc_id")
     hits = runs.join(found, "run").select("query_id", "segments", "doc_id", F.size(F.split("run", r"\+")).cast("double").alias("score"))
-    return smart_min_match(hits, ("query_id", "segments")).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    best = smart_min_match(hits, ("query_id", "segments")).groupBy("query_id", F.col("doc_id").alias("set")).agg(F.sum("score").alias("score"))
+    scored = written(sets.join(best, "set").select("have", "query_id", "score"), "scored")  # its size is known when it meets the documents
+    return held.join(scored, "have").select("query_id", "doc_id", "score")

@@ -123,7 +123,7 @@ def _matches(spark, sf) -> DataFrame:
     words = spark.createDataFrame(_WORDS, "query_id long, words string").select("query_id", F.split("words", " ").alias("tokens"))
     asked = words.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     have = _parts(spark, sf).select("doc_id", F.explode(F.array_distinct(F.concat("brand", "model", "variant"))).alias("token"))
-    return asked.join(have, "token").select("query_id", "doc_id", "n", F.length("token").cast("double").alias("score"))
+    return have.join(F.broadcast(asked), "token").select("query_id", "doc_id", "n", F.length("token").cast("double").alias("score"))
 
 
 @_query(f"WITH {_SQL_MATCHES} SELECT query_id, doc_id, score, matched FROM hits WHERE matched >= CASE WHEN n <= 2 THEN 1 WHEN n <= 4 THEN 2 ELSE 3 END")

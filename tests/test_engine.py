@@ -207,6 +207,40 @@ def test_main_query(spark):
     assert [tuple(r) for r in scoring.main_query(queries, postings, longest=1).collect()] == [(1, 1, 2.0)]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_main_query_holds_no_query_in_one_task(spark):
+    texts = {d: ["a", "b", "c", "x"][d % 3 : d % 3 + 2] for d in range(40)}
+    queries = spark.createDataFrame([(1, ["a", "b", "a", "c"]), (2, ["c", "x"]), (None, ["b"])], "query_id long, tokens array<string>")
+    postings = spark.createDataFrame([(d, t) for d, ts in texts.items() for t in ts], "doc_id long, token string")
+    got = scoring.main_query(queries, postings)
+    assert "Window" not in _plan(got)
+    want = {}
+    for q, tokens in ((1, "abac"), (2, "cx"), (None, "b")):
+        for mask in range(2 ** (len(tokens) - 1)):
+            runs, run = [], tokens[0]
+            for i, t in enumerate(tokens[1:]):
+                runs, run = ([*runs, run], t) if mask >> i & 1 else (runs, run + t)
+            runs = [*runs, run]
+            if max(map(len, runs)) > 3:
+                continue
+            found = {d: [len(r) for r in runs if set(r) <= set(ts)] for d, ts in texts.items()}
+            most = max(map(len, found.values()))
+            for d, f in found.items():
+                if f and len(f) == most:
+                    want[q, d] = want.get((q, d), 0) + sum(f)
+    assert sorted((str(r["query_id"]), r["doc_id"], r["score"]) for r in got.collect()) == sorted((str(q), d, v) for (q, d), v in want.items())
+
+
+def test_smart_min_match_by_maxima(spark):
+    rows = spark.createDataFrame([(None, 1, 1.0), (None, 1, 2.0), (None, 2, 5.0), (7, 3, 1.0), (7, 4, 2.0)], "query_id long, doc_id long, score double")
+    got = scoring.smart_min_match(rows)
+    assert "Window" not in _plan(got) and got.columns == ["query_id", "doc_id", "score", "matched"]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(None, 1, 3.0, 2), (7, 3, 1.0, 1), (7, 4, 2.0, 1)]))
+
+
 def test_conjuncts(spark):
     queries = spark.createDataFrame([(1, "a bb 12 cc"), (2, "5"), (3, "1 2 3 4 5 6 7 8 9")], "query_id long, query string")
     rows = retrieval.conjuncts(retrieval.tokenised_queries(queries)).collect()
