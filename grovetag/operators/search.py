@@ -3,7 +3,8 @@
 Catalogue rows: doc_id, doc_type, and one array of tokens for each field. Postings are of the distinct values
 of a field, not of the rows: they hold each token of a value and its marked prefixes, so exact and prefix
 conditions are the same equi-join. A clause meets the postings of its rarest term alone, the values found are held
-against its other terms, and the rows of the types that are asked for join the matching values last.
+against its other terms, and the rows of the types that are asked for join the matching values last: field by field,
+so that a row's score is found where the row is, and rows are never dealt by values or by queries.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from .matching import EDGE as EDGE_CODE
 from .matching import EDGE_PHONETIC
 
 
+#: Rows of the catalogue for each part that scores are dealt over.
+PART_ROWS = 1 << 20
+
+
 def _values(catalogue: DataFrame, fields: tuple[str, ...], *more: str) -> DataFrame:
     """(doc_type, field, value, more) of the rows' fields that have tokens; a value is its tokens, joined by spaces."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.array_join(F.col(f), " ").alias("value")) for f in fields])).alias("f")
@@ -140,18 +145,42 @@ def clause_values(asked: DataFrame, posting: DataFrame) -> DataFrame:
     known = asked.join(found, place).groupBy("query_id", "section", "clause", "doc_type", "field").agg(
         F.min(F.struct("values", "term")).alias("rarest"), F.collect_set("term").alias("terms"), F.first("needed").alias("needed"), F.first("boost").alias("boost")
     )
-    known = known.where(F.size("terms") == F.col("needed")).withColumn("term", F.col("rarest.term"))
+    known = written(known.where(F.size("terms") == F.col("needed")).withColumn("term", F.col("rarest.term")), "known-clauses")
     hits = known.join(posting, place).where(F.forall("terms", lambda t: _holds(F.split("value", " "), t)))
     return hits.groupBy("query_id", "section", "doc_type", "field", "value").agg(F.sum(F.col("needed") * F.col("boost")).alias("score"))
 
 
+def dealt_scores(asked: DataFrame, posting: DataFrame, catalogue: DataFrame, fields: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """clause_scores with `part`, a hash of doc_id: the rows are dealt by it, over more parts the more rows the catalogue has."""
+    values = written(clause_values(asked, posting), "values")
+    askers = written(values.select("query_id", "section").distinct().withColumn("asker", F.monotonically_increasing_id()), "askers")
+    same = [values["section"] == askers["section"], values["query_id"].eqNullSafe(askers["query_id"])]
+    entry = F.struct("asker", "score")
+    sides = values.join(askers, same).groupBy("doc_type", "field", "value").agg(F.map_from_entries(F.collect_list(entry)).alias("scores"))
+    sides = written(sides, "sides")  # its size is known when it meets the catalogue
+    types = {}
+    for r in sides.select("field", "doc_type").distinct().collect():  # those of the instance at most
+        types.setdefault(r["field"], []).append(r["doc_type"])
+    rows = catalogue.where(F.col("doc_type").isin(sorted({t for ts in types.values() for t in ts})))
+    total = F.lit(None).cast("map<bigint,double>")
+    for field in (f for f in fields if f in types):
+        side = sides.where(F.col("field") == field).select(F.col("doc_type").alias("type__"), F.col("value").alias("value__"), F.col("scores").alias(f"{field}__"))
+        value = F.when(F.col("doc_type").isin(types[field]), F.array_join(F.col(field), " "))
+        rows = rows.join(side, (F.col("doc_type") == F.col("type__")) & (value == F.col("value__")), "left").drop("type__", "value__")
+        own, before = F.col(f"{field}__"), total
+        both = F.map_zip_with(own, before, lambda _, a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
+        total = F.when(own.isNull(), before).when(before.isNull(), own).otherwise(both)
+    spark = catalogue.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), catalogue.count() // PART_ROWS + 1)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part")
+    scores = rows.select("doc_type", "doc_id", *keep, part, F.explode(total).alias("asker", "score")).repartition(parts, "part")
+    scores = scores.groupBy("part", "asker", "doc_type", "doc_id").agg(F.sum("score").alias("score"), *[F.first(c).alias(c) for c in keep])
+    return scores.join(askers, "asker").select("query_id", "section", "doc_id", "doc_type", "score", *keep, "part")
+
+
 def clause_scores(asked: DataFrame, posting: DataFrame, catalogue: DataFrame, fields: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, section, doc_id, doc_type, score, keep): scores of the clauses that match, summed; keep: further columns of the catalogue."""
-    values = clause_values(asked, posting)
-    types = F.broadcast(asked.select("doc_type").distinct())  # those of the instance at most
-    rows = _values(catalogue.join(types, "doc_type", "left_semi"), fields, "doc_id", *keep)
-    scores = rows.join(values, ["doc_type", "field", "value"]).groupBy("query_id", "section", "doc_type", "doc_id").agg(F.sum("score").alias("score"), *[F.first(c).alias(c) for c in keep])
-    return scores.select("query_id", "section", "doc_id", "doc_type", "score", *keep)
+    return dealt_scores(asked, posting, catalogue, fields, keep).drop("part")
 
 
 def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:

@@ -248,7 +248,7 @@ def _section_scores(spark, sf, section: str | None = None) -> DataFrame:
         types = next(s.types for s in INSTANCE.sections if s.name == section)
         catalogue = catalogue.where(F.col("doc_type").isin(*types))  # the other types aren't even scanned
     catalogue = written(catalogue, "catalogue")
-    return search.clause_scores(written(asked, "asked"), search.catalogue_postings(catalogue, FIELDS), catalogue, FIELDS, ("model_status",))
+    return search.clause_scores(written(asked, "asked"), written(search.catalogue_postings(catalogue, FIELDS), "catalogue-postings"), catalogue, FIELDS, ("model_status",))
 
 
 def _section(section: str):

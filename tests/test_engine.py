@@ -140,6 +140,26 @@ def test_search(spark, entities):
     assert {r["doc_id"] for r in auto if r["query_id"] == 1} == {"v"}
 
 
+def _many_rows(spark, n):
+    """A catalogue of n news of two brands and one variant, each fifth row twice; and clauses on all fields of it."""
+    docs = [(f"d{i}", "news", ["brand", str(i % 2)], ["cold", "widget"]) for i in range(n) for _ in range(2 if i % 5 == 0 else 1)]
+    catalogue = spark.createDataFrame(docs, "doc_id string, doc_type string, brand array<string>, variant array<string>").withColumn("model_status", F.lit(1))
+    asked = [(1, "news", "b", "news", "brand", "brand", 2, 0.5), (1, "news", "b", "news", "brand", "1", 2, 0.5), (1, "news", "v", "news", "variant", "e#wid", 1, 1.0), (2, "news", "v", "news", "variant", "cold", 1, 2.0), (3, "news", "x", "news", "variant", "none", 1, 2.0)]
+    return catalogue, spark.createDataFrame(asked, "query_id long, section string, clause string, doc_type string, field string, term string, needed int, boost double")
+
+
+def test_rows_are_not_dealt_by_values(spark):
+    catalogue, asked = _many_rows(spark, 20)
+    fields = ("brand", "variant")
+    got = search.clause_scores(asked, search.catalogue_postings(catalogue, fields), catalogue, fields, ("model_status",))
+    assert "hashpartitioning(doc_type" not in _plan(got)
+    times = lambda i: 2 if i % 5 == 0 else 1
+    want = [(q, f"d{i}", times(i) * (2.0 if q == 2 else 1.0 + i % 2)) for q in (1, 2) for i in range(20)]
+    assert sorted((r["query_id"], r["doc_id"], r["score"]) for r in got.collect()) == sorted(want)
+    none = search.clause_scores(asked.where("query_id = 3"), search.catalogue_postings(catalogue, fields), catalogue, fields)
+    assert none.count() == 0
+
+
 def test_candidates_do_not_depend_on_layout(spark, entities):
     records = store.build_store(entities)
     queries = spark.createDataFrame([(1, "cold widget old gear"), (2, "ecnomy")], "query_id long, query string")
