@@ -201,12 +201,34 @@ def type_rank(doc_type: Column, instance: Instance) -> Column:
     return F.when(doc_type.endswith("_page"), 0).otherwise(out)
 
 
-def paged(scores: DataFrame, instance: Instance, count: int | None = config.PAGE_SIZE, page: int = 0, status: str = "model_status") -> DataFrame:
-    """Rank within each section of a query, cut to the page; without a count all are ranked."""
+def result_order(instance: Instance, status: str = "model_status") -> list[Column]:
+    """Order of the results of a section."""
     first = F.col("section") == instance.sections[0].name
-    order = Window.partitionBy("query_id", "section").orderBy(F.col("score").desc(), F.when(first, type_rank(F.col("doc_type"), instance)).otherwise(0), F.when(first, F.col(status)), "doc_type", "doc_id")
-    ranked = scores.withColumn("rank", F.row_number().over(order))
-    return ranked if count is None else ranked.where(F.col("rank").between(page * count + 1, (page + 1) * count))
+    return [F.col("score").desc(), F.when(first, type_rank(F.col("doc_type"), instance)).otherwise(0), F.when(first, F.col(status)), F.col("doc_type"), F.col("doc_id")]
+
+
+def paged(scores: DataFrame, instance: Instance, count: int | None = config.PAGE_SIZE, page: int = 0, status: str = "model_status") -> DataFrame:
+    """Rank within each section of a query, cut to the page; without a count all are ranked, in range partitions."""
+    order = result_order(instance, status)
+    if count is not None:
+        ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "section").orderBy(*order)))
+        return ranked.where(F.col("rank").between(page * count + 1, (page + 1) * count))
+    rows = written(numbered(scores, "query_id", "section", *order), "placed")
+    firsts = written(rows.groupBy(F.col("query_id").alias("query__"), F.col("section").alias("section__")).agg(F.min("place").alias("first__")), "firsts")
+    same = F.col("query_id").eqNullSafe(F.col("query__")) & (F.col("section") == F.col("section__"))
+    return rows.join(firsts, same).select(*scores.columns, (F.col("place") - F.col("first__") + 1).cast("int").alias("rank"))
+
+
+def part_ranked(dealt: DataFrame, instance: Instance, status: str = "model_status") -> DataFrame:
+    """Dealt scores (with `part`) and `part_rank`, the rank within the part: a row that is among the first n of its section has a part_rank of n at most."""
+    own = Window.partitionBy("part", "query_id", "section").orderBy(*result_order(instance, status))
+    return dealt.withColumn("part_rank", F.row_number().over(own))
+
+
+def first_rows(ranked: DataFrame, asked: DataFrame) -> DataFrame:
+    """Of rows with part_rank those that can be on the page, or before it, that their query's request (query_id, count, page) asks for."""
+    last = asked.select("query_id", ((F.col("page").cast("long") + 1) * F.col("count")).alias("last__")).groupBy("query_id").agg(F.max("last__").alias("last__"))
+    return ranked.join(last, "query_id").where("part_rank <= last__").select(*ranked.columns)
 
 
 def with_totals(scores: DataFrame) -> DataFrame:

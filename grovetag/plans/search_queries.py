@@ -240,7 +240,7 @@ def _given(spark, sf) -> DataFrame:
     return rows.select("query_id", F.array(member).alias("members"))
 
 
-def _section_scores(spark, sf, section: str | None = None) -> DataFrame:
+def _section_scores(spark, sf, section: str | None = None, scores=search.clause_scores) -> DataFrame:
     catalogue = inputs.catalogue(spark, sf).where("doc_type <> 'new_model_page'")
     asked = search.clauses(written(search.readings(_given(spark, sf), INSTANCE), "readings"), INSTANCE)
     if section:
@@ -248,7 +248,7 @@ def _section_scores(spark, sf, section: str | None = None) -> DataFrame:
         types = next(s.types for s in INSTANCE.sections if s.name == section)
         catalogue = catalogue.where(F.col("doc_type").isin(*types))  # the other types aren't even scanned
     catalogue = written(catalogue, "catalogue")
-    return search.clause_scores(written(asked, "asked"), written(search.catalogue_postings(catalogue, FIELDS), "catalogue-postings"), catalogue, FIELDS, ("model_status",))
+    return scores(written(asked, "asked"), written(search.catalogue_postings(catalogue, FIELDS), "catalogue-postings"), catalogue, FIELDS, ("model_status",))
 
 
 def _section(section: str):
@@ -372,8 +372,9 @@ def request_fields(spark, sf):
         CASE section WHEN 'new_item' THEN 0 WHEN 'used_item' THEN 1 WHEN 'news' THEN 2 ELSE 3 END), '') AS sections
     FROM (SELECT DISTINCT query_id, words FROM {inputs.sql_values(_READ)} AS v(query_id, words, level)) a LEFT JOIN t USING (query_id) LEFT JOIN c USING (query_id, section) GROUP BY a.query_id, words""")
 def search_response(spark, sf):
-    asked, scores = _asked(spark), written(_section_scores(spark, sf), "scores")
-    page = requests.page_of(search.paged(scores, INSTANCE, count=None), asked)
+    asked = written(_asked(spark), "requests")
+    scores = written(search.part_ranked(_section_scores(spark, sf, scores=search.dealt_scores), INSTANCE), "scores")
+    page = requests.page_of(search.paged(search.first_rows(scores, asked), INSTANCE, count=None), asked)
     out = requests.responses(asked, page, search.with_totals(scores), INSTANCE)
     sections = F.array_join(F.transform("results", lambda s: F.concat_ws("", s["name"], F.lit(" "), s["count"].cast("string"), F.lit("/"), s["total_results"].cast("string"))), ", ")
     return out.select("query_id", "search_text", "count", "total_results", F.coalesce(sections, F.lit("")).alias("sections"))

@@ -160,6 +160,24 @@ def test_rows_are_not_dealt_by_values(spark):
     assert none.count() == 0
 
 
+def test_ranks_without_a_window_over_a_section(spark):
+    catalogue, asked = _many_rows(spark, 40)
+    fields = ("brand", "variant")
+    scores = stores.written(search.part_ranked(search.dealt_scores(asked, search.catalogue_postings(catalogue, fields), catalogue, fields, ("model_status",)), INSTANCES["default"]), "scores")
+    every = search.paged(scores, INSTANCES["default"], count=None)
+    assert "Window" not in _plan(every)
+    got = {(r["query_id"], r["doc_id"]): r["rank"] for r in every.collect()}
+    for q in (1, 2):
+        rows = sorted((-r["score"], r["doc_id"]) for r in scores.where(f"query_id = {q}").collect())
+        assert len(rows) == 40 and [got[q, d] for _, d in rows] == list(range(1, 41))
+    wanted = spark.createDataFrame([(1, "a", 3, 1, None), (2, "b", 1000, 0, None)], "query_id long, query string, count int, page int, section string")
+    first = search.first_rows(scores, wanted)
+    page = requests.page_of(search.paged(first, INSTANCES["default"], count=None), wanted).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in page) == [(1, 4), (1, 5), (1, 6)] + [(2, i) for i in range(1, 41)]
+    assert all(got[r["query_id"], r["doc_id"]] == r["rank"] for r in page)
+    assert search.paged(scores.where("query_id = 9"), INSTANCES["default"], count=None).count() == 0
+
+
 def test_candidates_do_not_depend_on_layout(spark, entities):
     records = store.build_store(entities)
     queries = spark.createDataFrame([(1, "cold widget old gear"), (2, "ecnomy")], "query_id long, query string")
