@@ -55,17 +55,20 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, doc_type, a token array for each of FIELDS, and model_status."""
     part = table(spark, sf_dir, "part")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    place = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    none = F.lit(None).cast("string")
+    place = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", words(F.col("r_name")).alias("r_name"))
+    none = F.array().cast("array<string>")
 
     def rows(df: DataFrame, kind: str, doc_id: str, **fields: str) -> DataFrame:
-        status = fields.pop("status", None)
-        text = [words(F.coalesce(F.col(fields[f]) if f in fields else none, F.lit(""))).alias(f) for f in FIELDS]
+        status, kinds = fields.pop("status", None), dict(df.dtypes)
+        tokens = lambda c: F.coalesce(F.col(c) if kinds[c] == "array<string>" else words(F.col(c)), none)
+        text = [(tokens(fields[f]) if f in fields else none).alias(f) for f in FIELDS]
         return df.select(F.expr(doc_id).cast("string").alias("doc_id"), F.lit(kind).alias("doc_type"), *text, (F.expr(status) if status else F.lit(0)).cast("int").alias("model_status"))
 
+    # words of parts and places are found before they meet the many rows that name them
+    told = part.select("p_partkey", *[words(F.col(c)).alias(c) for c in ("p_brand", "p_type", "p_name")])
     supplier = table(spark, sf_dir, "supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey"))
-    used = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    dealers = supplier.join(part, F.col("s_suppkey") == F.col("p_partkey"), "left")
+    used = table(spark, sf_dir, "lineitem").join(told, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    dealers = supplier.join(told, F.col("s_suppkey") == F.col("p_partkey"), "left")
     models = part.groupBy("p_brand", "p_type").agg(F.min("p_size").alias("size"))
     parts = [
         rows(part.select("p_brand").distinct(), "new_brand", "p_brand", brand="p_brand"),

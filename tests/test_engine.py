@@ -5,6 +5,7 @@ import pytest
 from grovetag.config import INSTANCES
 from grovetag.functions import analysis, distance
 from grovetag.operators import forests, intents, matching, requests, retrieval, scoring, search, store
+from grovetag.plans import inputs
 from grovetag.sources import stores
 from grovetag.sources.cache import ResultCache, request_key
 from grovetag.streaming import tokens
@@ -178,6 +179,14 @@ def test_ranks_without_a_window_over_a_section(spark):
     assert search.paged(scores.where("query_id = 9"), INSTANCES["default"], count=None).count() == 0
 
 
+def test_words_are_found_before_the_catalogue_joins(spark):
+    used = inputs.catalogue(spark, "/root/testdata/sf0.001").where("doc_type = 'used_item'")
+    above, _, below = used._jdf.queryExecution().optimizedPlan().toString().partition("Join")
+    assert "regexp_extract_all" in below and "regexp_extract_all" not in above
+    row = used.orderBy("doc_id").first()
+    assert row["brand"][0] == "brand" and row["name"] == [] and row["city"] == [] and row["listing_city"] and row["model_status"] == 0
+
+
 def test_candidates_do_not_depend_on_layout(spark, entities):
     records = store.build_store(entities)
     queries = spark.createDataFrame([(1, "cold widget old gear"), (2, "ecnomy")], "query_id long, query string")
